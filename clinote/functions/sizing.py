@@ -1,0 +1,12 @@
+"""Broadcast only what is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+MAX_BROADCAST_ROWS = 500_000
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; reads no more than that per partition."""
+    return df.limit(max_rows + 1).count() <= max_rows
