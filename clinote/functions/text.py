@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 # The header stamp that may open a note, and the certainty markers
 # that lead the modifier list of a mention.
 HEADER_STAMP = "[0-9]{2}/[0-9]{2}/[0-9]{4} [0-9]{2}:[0-9]{2} EST"
+HEADER_STAMP_END = " EST"
 CERTAINTY_PREFIX = "certainty="
 POSITIVE = "Positive"
 NEGATED = "Negated"
@@ -17,15 +18,25 @@ _SPACE = r"[\s\x1c-\x1f]"
 
 def strip_space(text: Column) -> Column:
     """Trim Unicode white space at both ends (SQL ``trim`` removes blanks only)."""
-    leading = F.regexp_replace(text, f"(?U)^{_SPACE}+", "")
+    leading = F.when(
+        F.left(text, F.lit(1)).rlike(f"(?U){_SPACE}"), F.regexp_replace(text, f"(?U)^{_SPACE}+", "")
+    ).otherwise(text)
     # Anchored behind a non-space so that long inner runs are scanned only once.
-    return F.regexp_replace(leading, rf"(?U)(?<!{_SPACE}){_SPACE}+$", "")
+    return F.when(
+        F.right(text, F.lit(1)).rlike(f"(?U){_SPACE}"),
+        F.regexp_replace(leading, rf"(?U)(?<!{_SPACE}){_SPACE}+$", ""),
+    ).otherwise(leading)
 
 
 def clean_snippet(snippet: Column) -> Column:
-    """Trim, drop everything through the first header stamp, trim again."""
-    trimmed = strip_space(snippet)
-    return strip_space(F.regexp_replace(trimmed, f"(?s)^.*?{HEADER_STAMP}", ""))
+    """Trim, drop everything through the first header stamp, trim again.
+
+    Trimming before the stamp is sought changes nothing that trimming after it would not.
+    """
+    unstamped = F.when(
+        snippet.contains(HEADER_STAMP_END), F.regexp_replace(snippet, f"(?s)^.*?{HEADER_STAMP}", "")
+    ).otherwise(snippet)
+    return strip_space(unstamped)
 
 
 def certainty_is(modifiers: Column, certainty: str) -> Column:
@@ -61,6 +72,8 @@ def after_last_equals(name: Column) -> Column:
 
 # Documents are tokenised into word runs and single punctuation characters.
 TOKEN = r"(?U)\w+|[^\w\s]"
+_WORD = r"(?U)\w"
+_BLANK = r"(?U)\s"
 
 
 def tokens(text: Column) -> Column:
@@ -76,13 +89,22 @@ def expand_to_tokens(text: Column, start: Column, end: Column) -> tuple[Column,
     before = F.substring(text, F.lit(1), start)
     span = F.substring(text, start + 1, end - start)
     after = F.substring(text, end + 1, F.length(text) - end)
-    blank = span.rlike(r"(?U)^\s*$")
+    opens, closes = F.left(span, F.lit(1)), F.right(span, F.lit(1))
     left = (
-        F.when(span.rlike(r"(?U)^\w"), -F.length(F.regexp_extract(before, r"(?U)(?<!\w)\w+$", 0)))
-        .otherwise(F.length(F.regexp_extract(span, r"(?U)^\s+", 0)))
+        F.when(
+            opens.rlike(_WORD) & F.right(before, F.lit(1)).rlike(_WORD),
+            -F.length(F.regexp_extract(before, r"(?U)(?<!\w)\w+$", 0)),
+        )
+        .when(opens.rlike(_BLANK), F.length(F.regexp_extract(span, r"(?U)^\s+", 0)))
+        .otherwise(0)
     )
     right = (
-        F.when(span.rlike(r"(?U)\w$"), F.length(F.regexp_extract(after, r"(?U)^\w+", 0)))
-        .otherwise(-F.length(F.regexp_extract(span, r"(?U)(?<!\s)\s+$", 0)))
+        F.when(
+            closes.rlike(_WORD) & F.left(after, F.lit(1)).rlike(_WORD),
+            F.length(F.regexp_extract(after, r"(?U)^\w+", 0)),
+        )
+        .when(closes.rlike(_BLANK), -F.length(F.regexp_extract(span, r"(?U)(?<!\s)\s+$", 0)))
+        .otherwise(0)
     )
+    blank = span.rlike(r"(?U)^\s*$")
     return F.when(blank, start).otherwise(start + left), F.when(blank, end).otherwise(end + right)

@@ -58,11 +58,13 @@ def one_hot(counts: DataFrame, names: list[str]) -> DataFrame:
     The names are given, so the schema is fixed and no pass over the data finds them; a
     name that never occurs gives a null column.
     """
+    def flag(name: str):
+        # An integer maximum keeps the aggregate hash-based; a text one would sort.
+        seen = F.max(F.when(F.col("note_nlp_concept_name") == name, 1))
+        return F.when(seen == 1, "Yes").alias(concept_column(name))
+
     found = counts.filter(F.col("note_nlp_concept_name").isNotNull())
-    return found.groupBy("encounter_number").agg(*[
-        F.max(F.when(F.col("note_nlp_concept_name") == name, "Yes")).alias(concept_column(name))
-        for name in sorted(set(names))
-    ])
+    return found.groupBy("encounter_number").agg(*[flag(name) for name in sorted(set(names))])
 
 
 def vocabulary(concepts: DataFrame, ids: DataFrame, exclude: str | None = xw.EXCLUDED_CONCEPT) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clinote.functions import ranking, text
+from clinote.functions.columns import compute_once
 from clinote.operators.crosswalk import exclude_concept_ids
 
 TERM_USAGE = "label_term_usage"
@@ -32,7 +33,7 @@ def cap_mentions(mentions: DataFrame, n: int | None = DEFAULT_CAP) -> DataFrame:
 def clean(mentions: DataFrame) -> DataFrame:
     """Replace the snippet by its cleaned form and add its SHA-1; rows without modifiers go."""
     usable = mentions.filter(F.col("snippet").isNotNull() & F.col("term_modifiers").isNotNull())
-    cleaned = usable.withColumn("snippet", text.clean_snippet(F.col("snippet")))
+    cleaned = compute_once(usable, {"snippet": text.clean_snippet(F.col("snippet"))})
     return cleaned.withColumn("sha1", F.sha1("snippet"))
 
 
@@ -126,7 +127,7 @@ def label(first: DataFrame, concepts: DataFrame, style: str) -> DataFrame:
 def expand_spans(rows: DataFrame) -> DataFrame:
     """Grow ``start, end`` to whole tokens of the snippet."""
     start, end = text.expand_to_tokens(F.col("snippet"), F.col("start"), F.col("end"))
-    return rows.withColumns({"start": start, "end": end})
+    return compute_once(rows, {"start": start, "end": end})
 
 
 def _overlapping(ents: Column) -> Column:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "clinote", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="clinote-")
     return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+
+
+def store(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several branches read, and return the written table.
+
+    The table survives the loss of executors and cuts the plan at this point.
+    """
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

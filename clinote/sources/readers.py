@@ -8,12 +8,25 @@ from pyspark.sql.types import StructType
 from clinote import schemas
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet table; only the named columns are scanned."""
-    df = spark.read.parquet(path)
+def read_table(
+    spark: SparkSession, path: str, columns: list[str] | None = None, schema: StructType | str | None = None
+) -> DataFrame:
+    """Parquet table; only the named columns are scanned. With a schema no file is opened yet."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(path)
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan of fewer splits than there are cores over all cores, by key.
+
+    Meant for small inputs before costly work per row. A large scan has more splits than
+    that and is returned as it is, so nothing big is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_query(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
     """Result of a SQL text whose ``{name}`` placeholders are the given frames."""
     return spark.sql(query, **tables)

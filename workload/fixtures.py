@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from clinote import schemas
+from clinote.functions.columns import compute_once
 from clinote.plans.comparison import Tables
+from clinote.sources.readers import read_table, spread
 
 LEXICON = [
     (101, "Contempt", "trash"),
@@ -51,8 +53,24 @@ PAIRS = [
 ]
 
 
+# Declared, so that building a query opens no file.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", schema=SCHEMAS[name])
 
 
 def _inline(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
@@ -92,9 +110,10 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``note_id, note_text`` for tagging, read without a join."""
-    return table(spark, sf_dir, "documents").select(
+    texts = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("note_id"), F.col("text").alias("note_text")
     )
+    return spread(texts, "note_id")
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +174,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     encounter exists are kept, as for the notes.
     """
     words = (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
         .select(
             F.col("doc_id").alias("note_id"),
             F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"),
@@ -167,15 +186,15 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.when(at > 0, F.get("words", at - 1))
     block = F.array_join(F.slice("words", F.floor(at / BLOCK).cast("int") * BLOCK + 1, F.lit(BLOCK)), " ")
     # The lexicon above is sixteen fixed rows.
-    found = words.join(F.broadcast(terms), F.col("word") == F.col("term")).select(
-        (F.col("note_id") * 100_000 + at + 1).alias("note_nlp_id"),
-        "note_id",
-        F.when(F.col("note_id") % 5 == 0, F.concat(F.lit(STAMP), block)).otherwise(block).alias("snippet"),
-        F.col("term").alias("lexical_variant"),
-        F.col("concept_id").alias("note_nlp_concept_id"),
-        F.when(before.isin(CUES), "certainty=Negated,experiencer=Patient")
-        .otherwise("certainty=Positive,experiencer=Patient")
-        .alias("term_modifiers"),
+    hits = words.join(F.broadcast(terms), F.col("word") == F.col("term"))
+    found = compute_once(hits.withColumnsRenamed({"term": "lexical_variant", "concept_id": "note_nlp_concept_id"}), {
+        "note_nlp_id": F.col("note_id") * 100_000 + at + 1,
+        "snippet": F.when(F.col("note_id") % 5 == 0, F.concat(F.lit(STAMP), block)).otherwise(block),
+        "term_modifiers": F.when(before.isin(CUES), "certainty=Negated,experiencer=Patient").otherwise(
+            "certainty=Positive,experiencer=Patient"
+        ),
+    }).select(
+        "note_nlp_id", "note_id", "snippet", "lexical_variant", "note_nlp_concept_id", "term_modifiers"
     )
     known = table(spark, sf_dir, "orders").select("o_orderkey")
     return found.withColumn("o_orderkey", _encounter("note_id")).join(known, "o_orderkey", "left_semi").drop(

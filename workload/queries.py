@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,7 @@ from clinote.operators import (
     annotate, cohort, crosswalk, errors, evaluate, features, ingest, ner, profile, review, tagger,
 )
 from clinote.plans import comparison, corpus as corpus_plan, tagging
-from clinote.session import scratch_path
+from clinote.session import scratch_path, store
 from clinote.sources import readers, sinks
 from workload import fixtures as fx
 
@@ -21,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 NLP_TIME = dt.datetime(2021, 3, 15, 12, 30)
 CLASSES_3 = ["Emergency medicine", "Admission evaluation", "Discharge summary"]
-DRILL_ENCOUNTER = 60
+DRILL_ENCOUNTER = 2
 
 
 def query(function: Query) -> Query:
@@ -495,12 +496,14 @@ def document_tokens(spark, sf):
 
 @query
 def corpus_positions(spark, sf):
-    return ner.with_position(_corpus(spark, sf, ner.POSITIVE_CONCEPTS)).select("sha1", "position")
+    keys = store(spark, _corpus(spark, sf, ner.POSITIVE_CONCEPTS).select("sha1"), "corpus-keys")
+    return ner.with_position(keys)
 
 
 @query
 def ner_split(spark, sf):
-    return ner.split(_corpus(spark, sf, ner.POSITIVE_CONCEPTS).select("sha1"))
+    keys = store(spark, _corpus(spark, sf, ner.POSITIVE_CONCEPTS).select("sha1"), "corpus-keys")
+    return ner.split(keys)
 
 
 @query
@@ -513,14 +516,18 @@ def excel_safe_text(spark, sf):
 # Errors and follow-up
 
 def _examples(spark, sf, kind, certainty, style):
+    """Mentions and corpus are stored first, as both are read in several places."""
     tables = fx.comparison(spark, sf)
+    tables = replace(tables, mentions=store(spark, tables.mentions, "mentions"))
+    located = ner.prepare(tables.mentions, exclude_ids=[fx.EXCLUDED_ID])
+    documents = store(spark, ner.corpus(ner.first_variants(located), tables.concepts, style), "corpus")
     found = errors.examples(
-        _compared(spark, sf),
+        comparison.comparison_table(tables, fx.NAMES, reviewed_before()),
         fx.PAIRS,
         kind,
         comparison.build_crosswalk(tables, certainty, comparison.COMPARED_CLASSES),
-        ner.metadata(_located(spark, sf)),
-        ner.with_position(_corpus(spark, sf, style)),
+        ner.metadata(located),
+        ner.with_position(documents),
     )
     flat = found.withColumns({
         "term_modifiers": F.array_join("term_modifiers", "|"),
