@@ -40,7 +40,16 @@ def map_columns(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """CSV with a header that ``readers.read_csv`` gives back unchanged, but for empty text, read as null."""
+    (
+        df.write.mode(mode)
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
