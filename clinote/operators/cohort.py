@@ -28,8 +28,13 @@ def selected_visits(visits: DataFrame, checked: DataFrame, *, status: str = "pos
 
 
 def distinct_selected_visits(visits: DataFrame, checked: DataFrame, *, status: str = "positive") -> DataFrame:
-    """``selected_visits`` without repeats: being in the index is tested, not joined."""
-    eligible = visits.filter(F.col("covid19_status") == status).join(checked, "visit_occurrence_id", "left_semi")
+    """``selected_visits`` without repeats: being in the index is tested, not joined.
+
+    The index is made distinct first, which combines before the shuffle: the tested side of
+    a semi join cannot be split, so one visit listed very often must not reach it whole.
+    """
+    index = checked.select("visit_occurrence_id").distinct()
+    eligible = visits.filter(F.col("covid19_status") == status).join(index, "visit_occurrence_id", "left_semi")
     return with_numeric_encounter(eligible).select(
         "encounter_number", "visit_start_datetime", "visit_end_datetime", "visit_concept_name"
     ).distinct()
@@ -49,9 +54,13 @@ def followup_notes(
     """Outpatient notes of documents dated at least ``months`` after a positive result.
 
     Only persons with the condition code count. A later positive result never qualifies a
-    note that the earliest one does not, so one date per patient is enough.
+    note that the earliest one does not, so one date per patient is enough. The notes to
+    return are settled on keys alone; their text is joined once, at the end, by a key pair
+    that spreads evenly even where one encounter holds very many notes.
     """
-    with_condition = conditions.filter(F.col("condition_source_concept_code") == condition_code)
+    with_condition = (
+        conditions.filter(F.col("condition_source_concept_code") == condition_code).select("person_id").distinct()
+    )
     first_positive = (
         results.filter(F.col("positive_datetime").isNotNull())
         .join(with_condition, "person_id", "left_semi")
@@ -69,8 +78,13 @@ def followup_notes(
     outpatient = encounters.filter(F.col("classification_display") == classification).select(
         F.col("encounter_number").alias("encounter_id"), "service_delivery_location"
     )
-    return (
-        physician_notes.filter(~F.col("document_type").isin(*excluded_types))
-        .join(outpatient, "encounter_id")
+    wanted = physician_notes.filter(~F.col("document_type").isin(*excluded_types))
+    keys = (
+        wanted.select("document_id", "encounter_id")
+        .distinct()
         .join(qualifying, "document_id", "left_semi")
+        .join(outpatient, "encounter_id")
+    )
+    return wanted.join(keys, ["document_id", "encounter_id"]).select(
+        *physician_notes.columns, "service_delivery_location"
     )

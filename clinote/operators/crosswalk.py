@@ -15,6 +15,18 @@ NO_CONCEPT = "NC"
 EXCLUDED_CONCEPT = "Influenza"
 
 
+_NOTE_COLUMNS = [
+    "encounter_number",
+    "visit_start_datetime",
+    "visit_end_datetime",
+    "visit_concept_name",
+    "note_id",
+    "mrn",
+    "note_class_concept_name",
+    "note_class_concept_id",
+]
+
+
 def mentions_with_certainty(mentions: DataFrame, certainty: str) -> DataFrame:
     return mentions.filter(certainty_is(F.col("term_modifiers"), certainty))
 
@@ -55,8 +67,8 @@ def build(
 ) -> DataFrame:
     """Distinct rows of visit x note x mention for one certainty.
 
-    Mentions are filtered before the outer join: a note with negated mentions only stays
-    in the positive crosswalk as ``NC``. ``visits`` is the result of
+    Mentions are filtered before they meet the notes: a note with negated mentions only
+    stays in the positive crosswalk as ``NC``. ``visits`` is the result of
     ``cohort.distinct_selected_visits``.
     """
     class_names = concepts.select(
@@ -75,24 +87,19 @@ def build(
         .join(visits, "encounter_number")
     )
     found = named_mentions(mentions, concepts, certainty, exclude)
-    return (
-        cohort_notes.join(found, "note_id", "left")
-        .select(
-            "encounter_number",
-            "visit_start_datetime",
-            "visit_end_datetime",
-            "visit_concept_name",
-            "note_id",
-            "mrn",
-            "note_class_concept_name",
-            "note_class_concept_id",
-            "note_nlp_id",
-            "note_nlp_concept_id",
-            F.coalesce("note_nlp_concept_name", F.lit(NO_CONCEPT)).alias("note_nlp_concept_name"),
-            F.when(F.col("note_nlp_concept_id").isNotNull(), F.lit(1)).alias("counter"),
-        )
-        .distinct()
+    with_mention = cohort_notes.join(found, "note_id").select(
+        *_NOTE_COLUMNS, "note_nlp_id", "note_nlp_concept_id", "note_nlp_concept_name", F.lit(1).alias("counter")
+    )
+    # The outer side of the join as an anti join: unlike the null side of an outer join,
+    # both sides of the inner one can be split where one note has very many mentions.
+    without_mention = cohort_notes.join(found.select("note_id").distinct(), "note_id", "left_anti").select(
+        *_NOTE_COLUMNS,
+        F.lit(None).cast("bigint").alias("note_nlp_id"),
+        F.lit(None).cast("int").alias("note_nlp_concept_id"),
+        F.lit(NO_CONCEPT).alias("note_nlp_concept_name"),
+        F.lit(None).cast("int").alias("counter"),
     )
+    return with_mention.unionByName(without_mention).distinct()
 
 
 def matched(crosswalk: DataFrame) -> DataFrame:

@@ -14,14 +14,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clinote.functions.columns import compute_once
 from clinote.functions.sizing import MAX_BROADCAST_ROWS, is_small
 from clinote.functions.text import CERTAINTY_PREFIX, NEGATED, POSITIVE
 from clinote.operators.ingest import assign_nlp_id
 
 CHUNK_WORDS = 128
 WORD = r"[\p{L}\p{M}\p{N}]"
-TILE = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+"
-_CHUNK = rf"(?:{WORD}++|[^\p{{L}}\p{{M}}\p{{N}}]++){{1,{2 * CHUNK_WORDS}}}+"
+GAP = r"[^\p{L}\p{M}\p{N}]"
+_CHUNK = f"(?:{WORD}++|{GAP}++){{1,{2 * CHUNK_WORDS}}}+"
 _LINE = r"[^\n]*\n|[^\n]+"
 
 NEGATION_CUES = ("no", "not", "denies", "without")
@@ -62,16 +63,16 @@ def _chunks(notes: DataFrame) -> DataFrame:
 
 
 def _words(chunks: DataFrame) -> DataFrame:
-    """One row per tile of a chunk; ``token`` is its lower-case form.
+    """One row per word of a chunk, lower case, with the words around it at hand.
 
-    A chunk is never empty, so the outer form adds no rows; it keeps Catalyst from
-    adding a not-empty filter that would cut the chunk into tiles again.
+    The outer form of the explode keeps Catalyst from adding a not-empty filter that would
+    cut the chunk into words again; the null row of a wordless chunk matches no term.
     """
-    return (
-        chunks.withColumn("tiles", _find_all("body", TILE))
-        .select("*", F.posexplode_outer("tiles").alias("tile_no", "tile"))
-        .withColumn("token", F.lower("tile"))
-    )
+    return _with_words(chunks).select("*", F.posexplode_outer("words").alias("word_no", "token"))
+
+
+def _with_words(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("words", _find_all(F.lower("body"), WORD + "+"))
 
 
 def _loose(text: Column) -> Column:
@@ -87,33 +88,33 @@ def _terms(lexicon: DataFrame) -> DataFrame:
         "concept_id",
         "term",
         F.lower(words.getItem(0)).alias("token"),
-        (F.size(words) * 2 - 1).alias("n_tiles"),
+        F.size(words).alias("n_words"),
         _loose(F.col("core")).alias("loose_term"),
     )
 
 
-def _certainty(prefix: Column, cues: Sequence[str], window: int) -> Column:
-    """Negated when one of the last ``window`` words before the mention is a cue."""
-    near = F.slice(F.reverse(_find_all(F.lower(prefix), WORD + "+")), F.lit(1), F.lit(window))
+def _certainty(near: Column, cues: Sequence[str]) -> Column:
+    """Negated when one of the words just before the mention is a cue."""
+    if not cues:
+        raise ValueError("at least one negation cue is needed")
     negated = F.arrays_overlap(near, F.array(*[F.lit(c.lower()) for c in cues]))
     return F.when(negated, F.lit(NEGATED)).otherwise(F.lit(POSITIVE))
 
 
-def _described(found: DataFrame, cues: Sequence[str], window: int, radius: int) -> DataFrame:
-    """Mentions from rows with ``prefix``, ``lexical_variant`` and ``suffix`` around each match."""
-    if not cues:
-        raise ValueError("at least one negation cue is needed")
-    return found.select(
-        "note_id",
-        "concept_id",
-        "term",
-        "start",
-        "lexical_variant",
-        _certainty(F.col("prefix"), cues, window).alias("certainty"),
-        F.concat(
-            F.right("prefix", F.lit(radius)), F.col("lexical_variant"), F.left("suffix", F.lit(radius))
-        ).alias("snippet"),
-    )
+def _repeated_part(text: Column, start: str, part: str, times: Column) -> Column:
+    """What matches the pattern ``start`` followed by ``part`` a given number of times."""
+    pattern = F.concat(F.lit(f"{start}(?:{part}){{"), times.cast("string"), F.lit("}"))
+    return F.call_function("regexp_extract", text, pattern, F.lit(0))
+
+
+def _last(words: Column, n: Column) -> Column:
+    """The last ``n`` elements, or all of them."""
+    kept = F.least(F.size(words), n)
+    return F.slice(words, F.size(words) - kept + 1, kept)
+
+
+def _snippet(prefix: Column, suffix: Column, radius: int) -> Column:
+    return F.concat(F.right(prefix, F.lit(radius)), F.col("lexical_variant"), F.left(suffix, F.lit(radius)))
 
 
 def tag(
@@ -137,55 +138,42 @@ def tag(
     if max(cue_window, snippet_radius // 2) > CHUNK_WORDS:
         raise ValueError(f"context is limited to {CHUNK_WORDS} words and {2 * CHUNK_WORDS} characters")
     terms = _terms(lexicon)
-    chunks = _chunks(notes)
-    words = _words(chunks)
+    words = _words(_chunks(notes))
     if is_small(terms, max_broadcast_rows):
         found = words.join(F.broadcast(terms), "token")
     else:
-        text = chunks.withColumn("tiles", _find_all("body", TILE))
-        found = (
-            words.select("note_id", "chunk_no", "tile_no", "token")
-            # The planner cannot see how many words a note holds: no broadcast of either side.
-            .join(terms.hint("merge"), "token")
-            .join(text, ["note_id", "chunk_no"])
-        )
-
-    here = F.array_join(F.slice("tiles", F.lit(1), F.col("tile_no")), "")
-    n_tiles = F.col("n_tiles")
-    match_tiles = F.slice(
+        places = words.select("note_id", "chunk_no", "word_no", "token")
+        # The planner cannot see how many words a note holds: no broadcast of either side.
+        hits = places.join(terms.hint("merge"), "token")
+        found = hits.join(_with_words(_chunks(notes)), ["note_id", "chunk_no"])
+
+    # From here on the work is per match, not per word.
+    word_no, n_words, window = F.col("word_no"), F.col("n_words"), F.lit(cue_window)
+    near = F.when(word_no >= window, F.slice("words", word_no - window + 1, window)).otherwise(
         F.concat(
-            F.slice("tiles", F.col("tile_no") + 1, n_tiles),
-            F.when(F.col("tile_no") + n_tiles > F.size("tiles"), _find_all("after", TILE))
-            .otherwise(F.array().cast("array<string>")),
-        ),
-        F.lit(1),
-        n_tiles,
+            _last(_find_all(F.lower("before"), WORD + "+"), window - word_no), F.slice("words", F.lit(1), word_no)
+        )
     )
-    placed = found.select(
-        "note_id",
-        "concept_id",
-        "term",
-        "n_tiles",
-        "loose_term",
-        "before",
-        "body",
-        "after",
-        "chunk_start",
-        here.alias("here"),
-        F.array_join(match_tiles, "").alias("lexical_variant"),
-    ).filter((n_tiles == 1) | (_loose(F.col("lexical_variant")) == F.col("loose_term")))
-    rest = F.concat("body", "after")
+    reached = compute_once(found, {
+        "here": _repeated_part(F.col("body"), f"^{GAP}*", f"{WORD}++{GAP}++", word_no),
+        "certainty": _certainty(near, cues),
+    })
+    onwards = F.substring(F.concat("body", "after"), F.length("here") + 1, F.length("body") + F.length("after"))
+    several_words = _repeated_part(onwards, f"^{WORD}+", f"{GAP}+{WORD}+", n_words - 1)
+    placed = compute_once(reached, {
+        "lexical_variant": F.when(n_words == 1, F.regexp_extract(onwards, f"^{WORD}+", 0)).otherwise(several_words),
+    }).filter((n_words == 1) | (_loose(F.col("lexical_variant")) == F.col("loose_term")))
     match_end = F.length("here") + F.length("lexical_variant")
-    around = placed.select(
+    suffix = F.substring(F.concat("body", "after"), match_end + 1, F.lit(snippet_radius))
+    return placed.select(
         "note_id",
         "concept_id",
         "term",
-        "lexical_variant",
         (F.col("chunk_start") + F.length("here")).alias("start"),
-        F.concat("before", "here").alias("prefix"),
-        F.substring(rest, match_end + 1, F.lit(2 * CHUNK_WORDS)).alias("suffix"),
+        "lexical_variant",
+        "certainty",
+        _snippet(F.concat("before", "here"), suffix, snippet_radius).alias("snippet"),
     )
-    return _described(around, cues, cue_window, snippet_radius)
 
 
 def tag_rules(
@@ -233,13 +221,18 @@ def tag_rules(
         )),
     ).filter(F.col("lexical_variant") != "")
     offset = F.col("pair_start") + F.length("gap")
-    around = placed.select(
-        "note_id", "concept_id", "term", "lexical_variant",
+    prefix = F.substring("line", F.lit(1), offset)
+    suffix = F.substring("line", offset + F.length("lexical_variant") + 1, F.lit(snippet_radius))
+    near = _last(_find_all(F.lower(prefix), WORD + "+"), F.lit(cue_window))
+    return placed.select(
+        "note_id",
+        "concept_id",
+        "term",
         (F.col("line_start") + offset).alias("start"),
-        F.substring("line", F.lit(1), offset).alias("prefix"),
-        F.substring("line", offset + F.length("lexical_variant") + 1, F.length("line")).alias("suffix"),
+        "lexical_variant",
+        _certainty(near, cues).alias("certainty"),
+        _snippet(prefix, suffix, snippet_radius).alias("snippet"),
     )
-    return _described(around, cues, cue_window, snippet_radius)
 
 
 def to_note_nlp(
