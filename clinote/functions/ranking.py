@@ -22,7 +22,10 @@ def _bucket_offsets(df: DataFrame, digest: str, digits: int) -> DataFrame:
 def with_position(
     df: DataFrame, digest: str, name: str, tie_break: list[str] | None = None, digits: int = BUCKET_DIGITS
 ) -> DataFrame:
-    """Add the 0-based global rank of each row in digest order, exact and gap-free."""
+    """Add the 0-based global rank of each row in digest order, exact and gap-free.
+
+    ``df`` is read twice; pass a written table where it is costly to compute.
+    """
     offsets = _bucket_offsets(df, digest, digits).select("_bucket", "_offset")
     inside = Window.partitionBy("_bucket").orderBy(digest, *(tie_break or []))
     ranked = df.withColumn("_bucket", F.left(digest, F.lit(digits))).withColumn(

@@ -107,7 +107,7 @@ def assign_nlp_id(spark, sf):
         F.col("concept_id").alias("note_nlp_concept_id"),
         "lexical_variant",
     )
-    return ingest.assign_nlp_id(rows, dense=True)
+    return ingest.assign_nlp_id(store(spark, rows, "new-mentions"), dense=True)
 
 
 @query
@@ -135,7 +135,7 @@ def text_records(spark, sf):
 
 @query
 def record_batches(spark, sf):
-    records = annotate.text_records(_followup(spark, sf)).select("id")
+    records = store(spark, annotate.text_records(_followup(spark, sf)).select("id"), "records")
     return annotate.with_batch_id(records, 50)
 
 
@@ -237,11 +237,22 @@ def used_concepts(spark, sf):
 
 # Crosswalk, features, reviews
 
+def _stored_tables(spark, sf):
+    """Tables with the mentions stored: queries that keep unmatched notes read them twice."""
+    tables = fx.comparison(spark, sf)
+    return replace(tables, mentions=store(spark, tables.mentions.drop("snippet"), "mentions"))
+
+
 def _all_classes(spark, sf, certainty):
-    return comparison.build_crosswalk(fx.comparison(spark, sf), certainty)
+    return comparison.build_crosswalk(_stored_tables(spark, sf), certainty)
+
+
+def _whole_crosswalk(spark, sf):
+    return comparison.positive_crosswalk(_stored_tables(spark, sf))
 
 
 def _crosswalk(spark, sf):
+    """For queries on matched rows, which need a single pass over the mentions."""
     return comparison.positive_crosswalk(fx.comparison(spark, sf))
 
 
@@ -279,13 +290,13 @@ def crosswalk_negated(spark, sf):
 @query
 def crosswalk_sorted(spark, sf):
     return sinks.sort_nulls_last(
-        _crosswalk(spark, sf), "encounter_number", "note_class_concept_name", "note_nlp_concept_id"
+        _whole_crosswalk(spark, sf), "encounter_number", "note_class_concept_name", "note_nlp_concept_id"
     )
 
 
 @query
 def visit_core(spark, sf):
-    return crosswalk.visit_core(_crosswalk(spark, sf))
+    return crosswalk.visit_core(_whole_crosswalk(spark, sf))
 
 
 @query
@@ -295,12 +306,12 @@ def concept_counts(spark, sf):
 
 @query
 def unmatched_classes(spark, sf):
-    return features.unmatched_classes(_crosswalk(spark, sf))
+    return features.unmatched_classes(_whole_crosswalk(spark, sf))
 
 
 @query
 def concept_counts_with_unmatched(spark, sf):
-    built = _crosswalk(spark, sf)
+    built = store(spark, _whole_crosswalk(spark, sf), "crosswalk")
     return features.with_unmatched(features.concept_counts(built), features.unmatched_classes(built))
 
 
@@ -357,10 +368,11 @@ def nlp_performance(spark, sf):
 
 @query
 def stage_counts(spark, sf):
-    tables = fx.comparison(spark, sf)
-    positive = comparison.positive_crosswalk(tables)
+    tables = _stored_tables(spark, sf)
+    everything = store(spark, comparison.build_crosswalk(tables, POSITIVE), "crosswalk")
+    positive = everything.filter(F.col("note_class_concept_name").isin(comparison.COMPARED_CLASSES))
     return comparison.stage_counts({
-        "positive crosswalk": comparison.build_crosswalk(tables, POSITIVE),
+        "positive crosswalk": everything,
         "positive crosswalk in classes": positive,
         "negated crosswalk": comparison.build_crosswalk(tables, NEGATED),
         "visits": crosswalk.visit_core(positive),
@@ -387,7 +399,8 @@ def mention_certainty(spark, sf):
 
 @query
 def note_nlp(spark, sf):
-    rows = tagger.to_note_nlp(_tagged(spark, sf), nlp_datetime=NLP_TIME, dense_ids=True)
+    tagged = store(spark, _tagged(spark, sf), "tagged")
+    rows = tagger.to_note_nlp(tagged, nlp_datetime=NLP_TIME, dense_ids=True)
     return rows.withColumn("nlp_date", F.col("nlp_date").cast("string"))
 
 
@@ -471,7 +484,7 @@ def ner_negated_concepts(spark, sf):
 @query
 def ner_corpus(spark, sf):
     """All three styles side by side."""
-    first, concepts = _first(spark, sf), fx.concepts(spark)
+    first, concepts = store(spark, _first(spark, sf), "first-variants"), fx.concepts(spark)
     styles = [_corpus_text(ner.corpus(first, concepts, s)).withColumn("style", F.lit(s)) for s in ner.STYLES]
     return styles[0].unionByName(styles[1]).unionByName(styles[2])
 
