@@ -24,7 +24,8 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based global rank of each row in digest order, exact and gap-free.
 
-    ``df`` is read twice; pass a written table where it is costly to compute.
+    ``df`` is read twice; pass a written table where it is costly to compute. Digests are
+    to be of a key: rows that share one are ordered within one task.
     """
     offsets = _bucket_offsets(df, digest, digits).select("_bucket", "_offset")
     inside = Window.partitionBy("_bucket").orderBy(digest, *(tie_break or []))

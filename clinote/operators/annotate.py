@@ -52,4 +52,4 @@ def with_batch_id(records: DataFrame, size: int = 50, *, key: str = "id") -> Dat
         raise ValueError("size must be positive")
     keyed = records.withColumn("_digest", F.md5(F.col(key).cast("string")))
     placed = ranking.with_position(keyed, "_digest", "_position", tie_break=[key])
-    return placed.withColumn("batch_id", F.floor(F.col("_position") / size)).drop("_digest", "_position")
+    return placed.withColumn("batch_id", F.expr(f"_position div {int(size)}")).drop("_digest", "_position")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from clinote.functions.text import after_last_equals, spreadsheet_safe
-from clinote.operators import evaluate
+from clinote.operators import evaluate, ner
 
 FALSE_POSITIVE = "fp"
 FALSE_NEGATIVE = "fn"
@@ -36,7 +36,8 @@ def examples(
 
     Pass the positive crosswalk and corpus for ``fp``, the negated ones for ``fn``: a false
     negative is looked up among the mentions tagged as negated, so one without any gives no
-    row. ``corpus`` needs ``sha1, position, text``.
+    row. ``corpus`` needs ``sha1, text`` and should be a written table; documents are
+    numbered on their keys alone, and the text is joined last.
     """
     meta = metadata.select(
         "sha1",
@@ -51,7 +52,8 @@ def examples(
         error_rows(compared, pairs, kind)
         .join(crosswalk, ["encounter_number", "note_nlp_concept_name"])
         .join(meta, "note_nlp_id")
-        .join(corpus.select("sha1", "position", "text"), "sha1")
+        .join(ner.with_position(corpus.select("sha1")), "sha1")
+        .join(corpus.select("sha1", "text"), "sha1")
         .withColumn("text", spreadsheet_safe(F.col("text")))
     )
 

@@ -60,7 +60,7 @@ def with_flags(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
 
 
 def confusion(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
-    """Sums of the flags per pair; a pair without countable rows has zeros."""
+    """Sums of the flags per pair over the rows of ``df``; a pair without countable rows has zeros."""
     totals = [F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in FLAGS]
     return long_flags(df, pairs).groupBy("chart_column", "concept_column").agg(*totals)
 

@@ -70,7 +70,7 @@ def test_examples_follow_the_crosswalk(spark, compared, rows):
         "sha1 string, lexical_variant string, note_id long, note_nlp_id long, term_modifiers array<string>, "
         "note_nlp_concept_id int, offsets struct<start:int,end:int>",
     )
-    corpus = spark.createDataFrame([("s1", 0, "-fever")], "sha1 string, position long, text string")
+    corpus = spark.createDataFrame([("s1", "-fever")], "sha1 string, text string")
     found = errors.examples(compared, PAIRS, "fp", walk, metadata, corpus)
     assert rows(found, "note_nlp_id", "meta_note_id", "position", "text") == [(500, 50, 0, "'-fever'")]
 

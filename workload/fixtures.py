@@ -92,7 +92,7 @@ def concepts(spark: SparkSession) -> DataFrame:
 
 def _encounter(doc_id: str):
     """Three documents per encounter."""
-    return F.floor(F.col(doc_id) / 3)
+    return F.expr(f"{doc_id} div 3")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -540,7 +540,7 @@ def _examples(spark, sf, kind, certainty, style):
         kind,
         comparison.build_crosswalk(tables, certainty, comparison.COMPARED_CLASSES),
         ner.metadata(located),
-        ner.with_position(documents),
+        documents,
     )
     flat = found.withColumns({
         "term_modifiers": F.array_join("term_modifiers", "|"),
