@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +27,18 @@ def build_session(app_name: str = "clinote", master: str | None = None, **conf:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder the cluster shares (``spark.checkpoint.dir``).
+    """A fresh path in a folder that all executors reach; it is deleted when the session's JVM ends.
 
-    A machine-local folder is used only in local mode with the setting unset.
+    The folder is ``spark.checkpoint.dir``, or where that is unset, one beside the tables of
+    the warehouse.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="clinote-")
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
 
 
 def store(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
