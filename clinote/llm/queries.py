@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clinote.llm import bpe_automaton, language_id, token_archive, token_counts
+from clinote.llm import (
+    bpe_automaton, jaccard_join, language_id, resharding, template_decontamination, token_archive, token_counts,
+)
 from clinote.session import scratch_path
 
 
@@ -13,6 +15,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards by the checksum of the id to 24 of equal bytes."""
+    placed = _table(spark, sf_dir, "documents").withColumn(
+        "old_shard", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 16
+    )
+    plan = resharding.plan(placed, "old_shard", 24)
+    written = resharding.rewrite(placed, "old_shard", plan, scratch_path(spark, "resharded"))
+    return written.select(
+        "doc_id",
+        resharding.row_size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("old").alias("old_shard"),
+    )
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return bpe_automaton.round_trip(documents, public_tokenizers.path("byte_bpe_50k.json"))
@@ -23,6 +44,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     path = scratch_path(spark, "token-archive")
@@ -38,8 +67,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_min_cost_resharding": op2_min_cost_resharding,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_template_decontamination": op6_template_decontamination,
     "op8_token_archive": op8_token_archive,
     "op10_language_id": op10_language_id,
 }
