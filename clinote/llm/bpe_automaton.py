@@ -320,5 +320,26 @@ def round_trip(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "te
     return map_batches(_keyed(df, key, text), run, schema)
 
 
+def encode_checked(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_tokens, ids, is_lossless``: the ids, and whether decoding them gives the text back.
+
+    ``ids`` are raw little-endian 32-bit numbers; null text is empty.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for batch in slices(batches, "text"):
+            flat, counts = coder.encode(batch.column(1))
+            rows = np.split(flat, np.cumsum(counts)[:-1])
+            same = [coder.automaton.decode(ids.tolist()) == (t or "") for ids, t in zip(rows, batch.column(1).to_pylist())]
+            raw = pa.array([ids.astype("<u4").tobytes() for ids in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), raw, pa.array(same, pa.bool_())],
+                names=[key, "n_tokens", "ids", "is_lossless"],
+            )
+
+    schema = f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids binary, is_lossless boolean"
+    return map_batches(_keyed(df, key, text), run, schema)
+
+
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, df[text].alias("text"))

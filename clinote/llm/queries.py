@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinote.llm import (
-    bpe_automaton, jaccard_join, language_id, resharding, template_decontamination, token_archive, token_counts,
+    bpe_automaton, iblt_fingerprint, jaccard_join, language_id, resharding, template_decontamination, token_archive,
+    token_counts, url_rules, warc_archive,
 )
 from clinote.session import scratch_path
 
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt_fingerprint.compare_versions(_table(spark, sf_dir, "documents"))
+
+
 def op2_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 16 shards by the checksum of the id to 24 of equal bytes."""
     placed = _table(spark, sf_dir, "documents").withColumn(
@@ -52,6 +57,12 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc_archive.write(_table(spark, sf_dir, "pages"), path)
+    return warc_archive.pages(spark, path)
+
+
 def op8_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     path = scratch_path(spark, "token-archive")
@@ -59,6 +70,25 @@ def op8_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive.digests(documents.select("doc_id"), path)
 
 
+#: The given rules; longer ones win.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled by the label of their number: unwanted if toxic or of low quality."""
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select(
+        "url", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked")
+    )
+    return url_rules.judge(pages, url_rules.mine(labelled), URL_RULES)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = language_id.train(documents.filter(~language_id.is_held_out()))
@@ -67,12 +97,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_iblt_fingerprint": op1_iblt_fingerprint,
     "op2_min_cost_resharding": op2_min_cost_resharding,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_token_counts": op4_token_counts,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_template_decontamination": op6_template_decontamination,
+    "op7_warc_archive": op7_warc_archive,
     "op8_token_archive": op8_token_archive,
+    "op9_url_rules": op9_url_rules,
     "op10_language_id": op10_language_id,
 }
 
