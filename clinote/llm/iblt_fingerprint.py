@@ -21,7 +21,7 @@ from clinote.functions.columns import compute_once
 
 CELLS, PART = 24, 8  # a block has three parts, and a digest a cell in each
 #: Blocks of the tables that are tried in turn; the first is the fingerprint.
-BLOCKS = (1, 8, 64)
+BLOCKS = (1, 4, 32)
 ROUNDS = 6
 _CHECK, _PLACE = "iblt-check", "iblt-place"
 #: A line is a paragraph; in a long one, sentences are joined to paragraphs of at least so many characters.
@@ -100,9 +100,18 @@ def subtract(one: Column, other: Column) -> Column:
 
 
 def _peel_block(cells: Column) -> Column:
-    """``array<struct<d, n>>`` of the digests in a block, or null where peeling gets stuck."""
+    """``array<struct<d, n>>`` of the digests in a block, or null where peeling gets stuck.
+
+    Only cells that hold something are kept from round to round.
+    """
+    def placed(c: Column, i: Column) -> Column:
+        return F.struct(i.alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"))
+
+    def holds(c: Column) -> Column:
+        return (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)
+
     def is_pure(c: Column) -> Column:
-        return (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"]))
+        return ((c["n"] == 1) | (c["n"] == -1)) & (c["h"] == _check(c["k"]))
 
     def found(state: Column) -> Column:
         pure = F.filter(state["cells"], is_pure)
@@ -112,22 +121,25 @@ def _peel_block(cells: Column) -> Column:
         )))
 
     def without(state: Column, keys: Column) -> Column:
-        left = F.transform(state["cells"], lambda c, i: F.aggregate(
+        left = F.transform(state["cells"], lambda c: F.aggregate(
             keys, c,
-            lambda held, e: F.when(_in_cell(e, i), _cell(
-                held["n"] - e["n"], held["k"].bitwiseXOR(e["d"]), held["h"].bitwiseXOR(e["h"])
+            lambda held, e: F.when(_in_cell(e, held["i"]), F.struct(
+                held["i"].alias("i"), (held["n"] - e["n"]).alias("n"),
+                held["k"].bitwiseXOR(e["d"]).alias("k"), held["h"].bitwiseXOR(e["h"]).alias("h"),
             )).otherwise(held),
         ))
         known = F.transform(keys, lambda e: F.struct(e["d"].alias("d"), e["n"].alias("n")))
-        return F.struct(left.alias("cells"), F.concat(state["known"], known).alias("known"))
+        return F.struct(F.filter(left, holds).alias("cells"), F.concat(state["known"], known).alias("known"))
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<d:bigint,n:int>>").alias("known"))
-    step = lambda state, _: _let(
-        found(state), lambda keys: F.when(F.size(keys) == 0, state).otherwise(without(state, keys))
+    start = F.struct(
+        F.filter(F.transform(cells, placed), holds).alias("cells"),
+        F.array().cast("array<struct<d:bigint,n:int>>").alias("known"),
     )
+    step = lambda state, _: F.when(F.size(state["cells"]) == 0, state).otherwise(_let(
+        found(state), lambda keys: F.when(F.size(keys) == 0, state).otherwise(without(state, keys))
+    ))
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start, step,
-        lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)), s["known"]),
+        F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["known"])
     )
 
 
