@@ -1,7 +1,7 @@
 """Exact global ranks without a single-task sort.
 
 A hex digest is uniform, so its leading digits split the rows into even buckets.
-Only the bucket sizes (at most 16 ** digits rows, whatever the data size) pass through
+Give more digits where 10^11 rows or more make buckets large. Only the bucket sizes (at most 16 ** digits rows, whatever the data size) pass through
 one task to become bucket offsets; the ordering itself runs per bucket in parallel.
 """
 
@@ -40,6 +40,17 @@ def with_position(
     )
 
 
+def with_key_position(df: DataFrame, key: list[str], digest: Column, name: str) -> DataFrame:
+    """Add the 0-based rank of each row's key in digest order; only keys are ranked, the rows join them.
+
+    Rows that share a key share its number.
+    """
+    keys = df.select(*key).distinct().withColumn("_digest", digest)
+    ranked = with_position(keys, "_digest", name, tie_break=key).select(*[F.col(k).alias(f"_key_{k}") for k in key], name)
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in key]
+    return df.join(ranked, same).drop(*[f"_key_{k}" for k in key])
+
+
 def lowest_fraction(df: DataFrame, digest: str, fraction: float, digits: int = BUCKET_DIGITS) -> Column:
     """Condition selecting exactly the floor(n * fraction) rows with the smallest digests.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The header stamp that may open a note, and the certainty markers
 # that lead the modifier list of a mention.
@@ -108,3 +110,28 @@ def expand_to_tokens(text: Column, start: Column, end: Column) -> tuple[Column,
     )
     blank = span.rlike(r"(?U)^\s*$")
     return F.when(blank, start).otherwise(start + left), F.when(blank, end).otherwise(end + right)
+
+
+#: Marks null in CSV files of this package, where empty text is empty.
+CSV_NULL = "\\N"
+
+
+def _each_text(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    return df.select(*[
+        change(F.col(f"`{name}`")).alias(name) if kind == "string" else F.col(f"`{name}`") for name, kind in df.dtypes
+    ])
+
+
+def without_lines(df: DataFrame) -> DataFrame:
+    """Line ends in texts as ``\\n`` and ``\\r``, backslashes doubled."""
+    return _each_text(df, lambda text: F.replace(F.replace(F.replace(
+        text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")
+    ))
+
+
+def with_lines(df: DataFrame) -> DataFrame:
+    """What ``without_lines`` was made from: read between doubled backslashes."""
+    return _each_text(df, lambda text: F.array_join(F.transform(
+        F.split(text, r"\\\\"),
+        lambda part: F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")),
+    ), "\\"))

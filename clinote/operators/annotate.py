@@ -27,6 +27,7 @@ def token_records(corpus: DataFrame, *, agent: str = AGENT, limit: int | None =
     )
 
 
+# Names of the metadata fields.
 METADATA_COLUMNS = (
     "patient_id", "mapped_document_type", "document_type", "service_delivery_location", "encounter_id"
 )
@@ -46,10 +47,10 @@ def text_records(notes: DataFrame, *, metadata_columns: tuple[str, ...] = METADA
 def with_batch_id(records: DataFrame, size: int = 50, *, key: str = "id") -> DataFrame:
     """Number the records into batches of ``size``; only the last batch may be smaller.
 
-    Records are dealt out in order of a digest of their key, so no task sorts them all.
+    Records are dealt out in order of a digest of their key, so no task sorts them all. The
+    keys, which are to be unique, are numbered alone; texts meet their number in one join.
     """
     if size < 1:
         raise ValueError("size must be positive")
-    keyed = records.withColumn("_digest", F.md5(F.col(key).cast("string")))
-    placed = ranking.with_position(keyed, "_digest", "_position", tie_break=[key])
-    return placed.withColumn("batch_id", F.expr(f"_position div {int(size)}")).drop("_digest", "_position")
+    placed = ranking.with_key_position(records, [key], F.md5(F.col(key).cast("string")), "_position")
+    return placed.withColumn("batch_id", F.expr(f"_position div {int(size)}")).drop("_position")

@@ -14,7 +14,7 @@ from clinote.functions.text import certainty_is
 NO_CONCEPT = "NC"
 EXCLUDED_CONCEPT = "Influenza"
 
-
+# Columns of the crosswalk.
 _NOTE_COLUMNS = [
     "encounter_number",
     "visit_start_datetime",
@@ -64,11 +64,13 @@ def build(
     certainty: str,
     exclude: str | None = EXCLUDED_CONCEPT,
     classes: list[str] | None = None,
+    names: list[str] | None = None,
 ) -> DataFrame:
     """Distinct rows of visit x note x mention for one certainty.
 
     Mentions are filtered before they meet the notes: a note with negated mentions only
-    stays in the positive crosswalk as ``NC``. ``visits`` is the result of
+    stays in the positive crosswalk as ``NC``. ``names`` limits the mentions to some
+    concepts, for callers that look at no others. ``visits`` is the result of
     ``cohort.distinct_selected_visits``.
     """
     class_names = concepts.select(
@@ -86,20 +88,17 @@ def build(
         .join(class_names, "note_class_concept_id")
         .join(visits, "encounter_number")
     )
-    found = named_mentions(mentions, concepts, certainty, exclude)
-    with_mention = cohort_notes.join(found, "note_id").select(
-        *_NOTE_COLUMNS, "note_nlp_id", "note_nlp_concept_id", "note_nlp_concept_name", F.lit(1).alias("counter")
-    )
-    # The outer side of the join as an anti join: unlike the null side of an outer join,
-    # both sides of the inner one can be split where one note has very many mentions.
-    without_mention = cohort_notes.join(found.select("note_id").distinct(), "note_id", "left_anti").select(
-        *_NOTE_COLUMNS,
-        F.lit(None).cast("bigint").alias("note_nlp_id"),
-        F.lit(None).cast("int").alias("note_nlp_concept_id"),
-        F.lit(NO_CONCEPT).alias("note_nlp_concept_name"),
-        F.lit(None).cast("int").alias("counter"),
+    known = concepts if names is None else concepts.filter(F.col("concept_name").isin(names))
+    found = named_mentions(mentions, known, certainty, exclude)
+    # The notes are the large side of the outer join and may be split where keys are skewed.
+    return (
+        cohort_notes.join(found.withColumn("counter", F.lit(1)), "note_id", "left")
+        .select(
+            *_NOTE_COLUMNS, "note_nlp_id", "note_nlp_concept_id",
+            F.coalesce("note_nlp_concept_name", F.lit(NO_CONCEPT)).alias("note_nlp_concept_name"), "counter",
+        )
+        .distinct()
     )
-    return with_mention.unionByName(without_mention).distinct()
 
 
 def matched(crosswalk: DataFrame) -> DataFrame:

@@ -24,22 +24,24 @@ def error_rows(compared: DataFrame, pairs: Sequence[evaluate.Pair], kind: str) -
     )
 
 
-def examples(
-    compared: DataFrame,
-    pairs: Sequence[evaluate.Pair],
-    kind: str,
-    crosswalk: DataFrame,
-    metadata: DataFrame,
-    corpus: DataFrame,
-) -> DataFrame:
-    """Errors with their mentions and texts.
-
-    Pass the positive crosswalk and corpus for ``fp``, the negated ones for ``fn``: a false
-    negative is looked up among the mentions tagged as negated, so one without any gives no
-    row. ``corpus`` needs ``sha1, text`` and should be a written table; documents are
-    numbered on their keys alone, and the text is joined last.
+def error_mentions(compared: DataFrame, pairs: Sequence[evaluate.Pair], kind: str, crosswalk: DataFrame) -> DataFrame:
+    """Crosswalk rows of the errors.
+
+    Pass the positive crosswalk for ``fp`` and the negated one for ``fn``: a false negative is looked up
+    among the mentions tagged as negated, so one without any gives no row.
+    """
+    return error_rows(compared, pairs, kind).join(crosswalk, ["encounter_number", "note_nlp_concept_name"])
+
+
+def examples(found: DataFrame, mentions: DataFrame, corpus: DataFrame, *, exclude_ids: list[int]) -> DataFrame:
+    """Errors (``error_mentions``) with their mentions and texts.
+
+    Mentions are reduced to those of the errors before they are cleaned and located.
+    ``found`` and ``corpus`` (``sha1, text``) should be written tables, as both are read
+    twice; documents are numbered on their keys alone, and the text is joined last.
     """
-    meta = metadata.select(
+    wanted = mentions.join(found.select("note_nlp_id").distinct(), "note_nlp_id", "left_semi")
+    meta = ner.metadata(ner.prepare(wanted, exclude_ids=exclude_ids)).select(
         "sha1",
         "lexical_variant",
         F.col("note_id").alias("meta_note_id"),
@@ -49,9 +51,7 @@ def examples(
         "offsets",
     )
     return (
-        error_rows(compared, pairs, kind)
-        .join(crosswalk, ["encounter_number", "note_nlp_concept_name"])
-        .join(meta, "note_nlp_id")
+        found.join(meta, "note_nlp_id")
         .join(ner.with_position(corpus.select("sha1")), "sha1")
         .join(corpus.select("sha1", "text"), "sha1")
         .withColumn("text", spreadsheet_safe(F.col("text")))

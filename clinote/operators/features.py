@@ -56,7 +56,7 @@ def one_hot(counts: DataFrame, names: list[str]) -> DataFrame:
     """One row per encounter with a ``Yes`` / null column per concept name, in sorted order.
 
     The names are given, so the schema is fixed and no pass over the data finds them; a
-    name that never occurs gives a null column.
+    name that never occurs gives a null column, and ``left_out`` reports the others.
     """
     def flag(name: str):
         # An integer maximum keeps the aggregate hash-based; a text one would sort.
@@ -67,11 +67,12 @@ def one_hot(counts: DataFrame, names: list[str]) -> DataFrame:
     return found.groupBy("encounter_number").agg(*[flag(name) for name in sorted(set(names))])
 
 
-def vocabulary(concepts: DataFrame, ids: DataFrame, exclude: str | None = xw.EXCLUDED_CONCEPT) -> DataFrame:
-    """Names of the concepts that occur in ``ids`` (column ``note_nlp_concept_id``)."""
-    used = ids.select(F.col("note_nlp_concept_id").alias("concept_id")).distinct()
-    names = concepts.join(used, "concept_id", "left_semi").select("concept_name").distinct()
-    return names if exclude is None else names.filter(F.col("concept_name") != exclude)
+def left_out(counts: DataFrame, names: list[str]) -> DataFrame:
+    """``note_nlp_concept_name, n_encounters``: concepts that ``one_hot`` with these names has no column for."""
+    name = F.col("note_nlp_concept_name")
+    other = counts.filter(name.isNotNull() & ~name.isin(names) if names else name.isNotNull())
+    pairs = other.select("note_nlp_concept_name", "encounter_number").distinct()
+    return pairs.groupBy("note_nlp_concept_name").agg(F.count("*").alias("n_encounters"))
 
 
 def drop_suffix(df: DataFrame, suffix: str = "_c") -> DataFrame:

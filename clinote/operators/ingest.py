@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from clinote.functions import ranking
 
@@ -21,10 +21,13 @@ def documents_to_note(
     encoding_concept_id: int = UTF8_ENCODING,
     language_concept_id: int = ENGLISH_LANGUAGE,
 ) -> DataFrame:
-    """Map staged documents onto the note table: renames, casts, constant concepts, typed nulls."""
+    """Map staged documents onto the note table: renames, casts, constant concepts, typed nulls.
+
+    A key that is not a number becomes null; ``schemas.violations`` on the result counts them.
+    """
     return documents.select(
-        F.col("id").cast("bigint").alias("note_id"),
-        F.col("patient_id").cast("bigint").alias("person_id"),
+        F.col("id").try_cast("bigint").alias("note_id"),
+        F.col("patient_id").try_cast("bigint").alias("person_id"),
         F.to_date("document_datetime").alias("note_date"),
         F.col("document_datetime").alias("note_datetime"),
         F.lit(note_type_concept_id).alias("note_type_concept_id"),
@@ -34,25 +37,29 @@ def documents_to_note(
         F.lit(encoding_concept_id).alias("encoding_concept_id"),
         F.lit(language_concept_id).alias("language_concept_id"),
         F.lit(None).cast("int").alias("provider_id"),
-        F.col("encounter_id").cast("bigint").alias("visit_occurrence_id"),
+        F.col("encounter_id").try_cast("bigint").alias("visit_occurrence_id"),
         F.lit(None).cast("int").alias("visit_detail_id"),
         F.col("mapped_document_type").alias("note_source_value"),
     )
 
 
-def _mention_key() -> list[Column]:
-    return [F.col(c) for c in ("note_id", "offset", "note_nlp_concept_id", "lexical_variant")]
+def _mention_key(mentions: DataFrame) -> list[str]:
+    key = ["note_id", "offset", "note_nlp_concept_id", "lexical_variant"]
+    return [*key, "term"] if "term" in mentions.columns else key
 
 
 def assign_nlp_id(mentions: DataFrame, *, dense: bool = False) -> DataFrame:
     """Add ``note_nlp_id`` to new mentions.
 
-    By default a 64-bit hash of (note, offset, concept, variant): no shuffle, and the same
-    mention always gets the same id. With ``dense`` the ids run 1..n without gaps, as a
-    sequence would give, in order of a digest of that key so that ranking stays parallel.
+    By default a 64-bit hash of (note, offset, concept, variant) and the term where there
+    is one: no shuffle, and the same mention always gets the same id. Hashes of some
+    billions of mentions meet by chance. With ``dense`` the ids run 1..n without gaps, as a
+    sequence would give, in order of a digest of that key so that ranking stays parallel;
+    the keys alone are ranked, and the number is joined to the rows.
     """
+    key = _mention_key(mentions)
     if not dense:
-        return mentions.select(F.xxhash64(*_mention_key()).alias("note_nlp_id"), "*")
-    keyed = mentions.withColumn("_digest", F.md5(F.concat_ws("|", *[k.cast("string") for k in _mention_key()])))
-    ranked = ranking.with_position(keyed, "_digest", "_position")
+        return mentions.select(F.xxhash64(*key).alias("note_nlp_id"), "*")
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key[:4]]))
+    ranked = ranking.with_key_position(mentions, key, digest, "_position")
     return ranked.select((F.col("_position") + 1).alias("note_nlp_id"), *mentions.columns)

@@ -19,14 +19,13 @@ POSITIVE_CONCEPTS = "label_positive_concepts"
 NEGATED_CONCEPTS = "label_negated_concepts"
 STYLES = (TERM_USAGE, POSITIVE_CONCEPTS, NEGATED_CONCEPTS)
 
-# Concept kept out of the corpus, mention cap and test share.
+# Concept kept out of the corpus and test share.
 EXCLUDED_CONCEPT_ID = 4266367
-DEFAULT_CAP = 10_000
 TEST_FRACTION = 0.3
 
 
-def cap_mentions(mentions: DataFrame, n: int | None = DEFAULT_CAP) -> DataFrame:
-    """First ``n`` mentions by note; None keeps all."""
+def cap_mentions(mentions: DataFrame, n: int | None = None) -> DataFrame:
+    """First ``n`` mentions by note where a cap is asked for; all by default."""
     return mentions if n is None else mentions.orderBy("note_id", "note_nlp_id").limit(n)
 
 
@@ -155,6 +154,28 @@ def documents(first: DataFrame, concepts: DataFrame, style: str) -> DataFrame:
     )
 
 
+def corpora(first: DataFrame, concepts: DataFrame, styles: tuple[str, ...] = STYLES) -> DataFrame:
+    """Annotated documents of several styles with their ``style``, from one pass over the mentions.
+
+    A style in which the spans of a document overlap leaves that document out.
+    """
+    rows = expand_spans(with_concept_label(first, concepts))
+    certainty = F.col("certainty")
+    labels = {
+        TERM_USAGE: certainty,
+        POSITIVE_CONCEPTS: F.when(certainty == text.POSITIVE, F.col("concept_label")),
+        NEGATED_CONCEPTS: F.when(certainty == text.NEGATED, F.col("concept_label")),
+    }
+    entity = {s: F.struct("start", "end", labels[s].alias("label")) for s in styles}
+    grouped = rows.groupBy("sha1").agg(
+        F.any_value("snippet").alias("text"),
+        *[F.array_sort(F.collect_list(F.when(labels[s].isNotNull(), entity[s]))).alias(s) for s in styles],
+    )
+    per_style = F.array(*[F.struct(F.lit(s).alias("style"), F.col(s).alias("ents")) for s in styles])
+    each = grouped.select("sha1", "text", F.inline(per_style))
+    return each.filter(~_overlapping(F.col("ents"))).select("sha1", "text", "ents", "style")
+
+
 def corpus(first: DataFrame, concepts: DataFrame, style: str) -> DataFrame:
     """Annotated documents; one whose spans overlap is left out whole."""
     return documents(first, concepts, style).filter(~F.col("overlaps")).drop("overlaps")

@@ -119,3 +119,9 @@ def drill_down(
         .join(wanted_concept, "note_nlp_concept_id")
         .join(_class_names(concepts), "note_class_concept_id")
     )
+
+
+def for_reading(profile: DataFrame) -> DataFrame:
+    """Presentation order of a profile: by note class, then concept, where it has them."""
+    names = [c for c in ("note_class_concept_name", "note_nlp_concept_name") if c in profile.columns]
+    return profile.orderBy(*names) if names else profile

@@ -3,8 +3,9 @@
 Notes are cut into chunks of a fixed number of words, so the work per match does not
 depend on the length of the note and one long note becomes many rows. A chunk travels
 with its two neighbours; as every chunk but the last has ``CHUNK_WORDS`` words, context
-windows up to that size are exact. Nothing is shuffled: the cutting, the word list and
-the look-up in the broadcast lexicon run in one stage.
+windows up to that size are exact. The lexicon is joined on the first word of its terms
+with whatever plan its size calls for; a broadcast lexicon leaves the text unshuffled. The
+result does not depend on the plan.
 """
 
 from __future__ import annotations
@@ -15,18 +16,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clinote.functions.columns import compute_once
-from clinote.functions.sizing import MAX_BROADCAST_ROWS, is_small
 from clinote.functions.text import CERTAINTY_PREFIX, NEGATED, POSITIVE
 from clinote.operators.ingest import assign_nlp_id
 
-CHUNK_WORDS = 128
+CHUNK_WORDS = 64
 WORD = r"[\p{L}\p{M}\p{N}]"
 GAP = r"[^\p{L}\p{M}\p{N}]"
 _CHUNK = f"(?:{WORD}++|{GAP}++){{1,{2 * CHUNK_WORDS}}}+"
+_GAP_AND_WORD = f"{GAP}*{WORD}+"
 _LINE = r"[^\n]*\n|[^\n]+"
+_SUM_BLOCK = 256
 
 NEGATION_CUES = ("no", "not", "denies", "without")
 CUE_WINDOW = 5
+#: A cue does not reach over these.
+CUE_STOPS = r"[.;\n]"
 SNIPPET_RADIUS = 120
 SYSTEM_NAME = "clinote"
 
@@ -35,18 +39,33 @@ def _find_all(text: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _running(lengths: Column, start: Column) -> Column:
+    """Start of each piece of the given lengths; one entry more than there are pieces."""
+    return F.aggregate(
+        lengths, F.array(start), lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n))
+    )
+
+
 def _starts(pieces: Column) -> Column:
-    """0-based start of each piece when the pieces are laid end to end."""
-    ends = F.aggregate(
-        pieces,
-        F.array(F.lit(0)),
-        lambda seen, piece: F.concat(seen, F.array(F.element_at(seen, -1) + F.length(piece))),
+    """0-based start of each piece when the pieces are laid end to end.
+
+    Summed in blocks, then within them: appending to one array for all pieces would take
+    the square of their number.
+    """
+    lengths = F.transform(pieces, lambda piece: F.length(piece))
+    n_blocks = F.greatest(F.ceil(F.size(pieces) / _SUM_BLOCK).cast("int"), F.lit(1))
+    blocks = F.transform(
+        F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lengths, b * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK))
     )
-    return F.slice(ends, F.lit(1), F.size(pieces))
+    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda x, y: x + y))
+    firsts = F.slice(_running(sums, F.lit(0)), F.lit(1), n_blocks)
+    return F.flatten(F.zip_with(
+        blocks, firsts, lambda block, first: F.slice(_running(block, first), F.lit(1), F.size(block))
+    ))
 
 
 def _chunks(notes: DataFrame) -> DataFrame:
-    """``note_id, chunk_no, before, body, after, chunk_start``: whole text, in word-bounded chunks."""
+    """``note_id, before, body, after, chunk_start``: whole text, in word-bounded chunks."""
     pieces = F.col("pieces")
     parts = F.arrays_zip(
         F.concat(F.array(F.lit("")), pieces).alias("before"),
@@ -56,23 +75,20 @@ def _chunks(notes: DataFrame) -> DataFrame:
     )
     return (
         notes.select("note_id", _find_all("note_text", _CHUNK).alias("pieces"))
-        .select("note_id", F.posexplode(parts).alias("chunk_no", "part"))
-        .select("note_id", "chunk_no", "part.*")
+        .select("note_id", F.explode(parts).alias("part"))
+        .select("note_id", "part.*")
         .filter(F.col("body").isNotNull())
     )
 
 
 def _words(chunks: DataFrame) -> DataFrame:
-    """One row per word of a chunk, lower case, with the words around it at hand.
+    """One row per word of a chunk, lower case.
 
     The outer form of the explode keeps Catalyst from adding a not-empty filter that would
     cut the chunk into words again; the null row of a wordless chunk matches no term.
     """
-    return _with_words(chunks).select("*", F.posexplode_outer("words").alias("word_no", "token"))
-
-
-def _with_words(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("words", _find_all(F.lower("body"), WORD + "+"))
+    words = _find_all(F.lower("body"), WORD + "+")
+    return chunks.select("*", F.posexplode_outer(words).alias("word_no", "token"))
 
 
 def _loose(text: Column) -> Column:
@@ -80,33 +96,44 @@ def _loose(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\s-]+", " ")
 
 
+def _parsed(lexicon: DataFrame) -> DataFrame:
+    """Terms with the symbols around them taken apart: ``lead, core, tail``."""
+    return lexicon.withColumns({
+        "core": F.regexp_extract("term", rf"(?s){WORD}(?:.*{WORD})?", 0),
+        "lead": F.trim(F.regexp_extract("term", rf"^{GAP}*", 0)),
+        "tail": F.trim(F.regexp_extract("term", rf"{GAP}*$", 0)),
+    })
+
+
+def unusable_terms(lexicon: DataFrame) -> DataFrame:
+    """Lexicon rows that ``tag`` cannot look up: without a letter or digit, or null."""
+    return _parsed(lexicon).filter(F.coalesce(F.col("core"), F.lit("")) == "").select(*lexicon.columns)
+
+
 def _terms(lexicon: DataFrame) -> DataFrame:
-    """Lexicon keyed by the first word of each term."""
-    core = F.regexp_extract("term", rf"(?s){WORD}(?:.*{WORD})?", 0)
+    """Lexicon keyed by the first word of each term; terms of one concept that read the same are one."""
     words = _find_all("core", WORD + "+")
-    return lexicon.withColumn("core", core).filter(F.col("core") != "").select(
-        "concept_id",
-        "term",
+    keyed = _parsed(lexicon).filter(F.col("core") != "").select(
+        "concept_id", "term", "lead", "tail",
         F.lower(words.getItem(0)).alias("token"),
         F.size(words).alias("n_words"),
         _loose(F.col("core")).alias("loose_term"),
     )
+    return keyed.groupBy("concept_id", "lead", "tail", "token", "n_words", "loose_term").agg(F.min("term").alias("term"))
 
 
-def _certainty(near: Column, cues: Sequence[str]) -> Column:
-    """Negated when one of the words just before the mention is a cue."""
+def _certainty(prefix: Column, cues: Sequence[str], window: int, stops: str | None) -> Column:
+    """Negated when one of the last words of the prefix, behind the last stop, is a cue."""
     if not cues:
         raise ValueError("at least one negation cue is needed")
+    if any(not c.isalnum() for c in cues):
+        raise ValueError("a cue is a single word")
+    reached = F.element_at(F.split(prefix, stops), -1) if stops else prefix
+    near = _last(_find_all(F.lower(reached), WORD + "+"), F.lit(window))
     negated = F.arrays_overlap(near, F.array(*[F.lit(c.lower()) for c in cues]))
     return F.when(negated, F.lit(NEGATED)).otherwise(F.lit(POSITIVE))
 
 
-def _repeated_part(text: Column, start: str, part: str, times: Column) -> Column:
-    """What matches the pattern ``start`` followed by ``part`` a given number of times."""
-    pattern = F.concat(F.lit(f"{start}(?:{part}){{"), times.cast("string"), F.lit("}"))
-    return F.call_function("regexp_extract", text, pattern, F.lit(0))
-
-
 def _last(words: Column, n: Column) -> Column:
     """The last ``n`` elements, or all of them."""
     kept = F.least(F.size(words), n)
@@ -123,56 +150,49 @@ def tag(
     *,
     cues: Sequence[str] = NEGATION_CUES,
     cue_window: int = CUE_WINDOW,
+    cue_stops: str | None = CUE_STOPS,
     snippet_radius: int = SNIPPET_RADIUS,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Find every lexicon term in every note.
 
     ``notes`` has ``note_id, note_text``; ``lexicon`` has ``concept_id, term``. A term of
     several words matches the same words with blanks or hyphens between them; case is
-    ignored. Result: ``note_id, concept_id, term, start, lexical_variant, certainty, snippet``.
-
-    A lexicon of more than ``max_broadcast_rows`` terms is joined by shuffling word
-    positions only; the text comes back for the matches alone.
+    ignored. Symbols at either end of a term (``HER2+``) must stand there in the text, and
+    belong to the mention. ``cue_stops`` is a pattern that ends the reach of a cue. Result:
+    ``note_id, concept_id, term, start, lexical_variant, certainty, snippet``.
     """
     if max(cue_window, snippet_radius // 2) > CHUNK_WORDS:
         raise ValueError(f"context is limited to {CHUNK_WORDS} words and {2 * CHUNK_WORDS} characters")
-    terms = _terms(lexicon)
-    words = _words(_chunks(notes))
-    if is_small(terms, max_broadcast_rows):
-        found = words.join(F.broadcast(terms), "token")
-    else:
-        places = words.select("note_id", "chunk_no", "word_no", "token")
-        # The planner cannot see how many words a note holds: no broadcast of either side.
-        hits = places.join(terms.hint("merge"), "token")
-        found = hits.join(_with_words(_chunks(notes)), ["note_id", "chunk_no"])
-
+    found = _words(_chunks(notes)).join(_terms(lexicon), "token")
     # From here on the work is per match, not per word.
-    word_no, n_words, window = F.col("word_no"), F.col("n_words"), F.lit(cue_window)
-    near = F.when(word_no >= window, F.slice("words", word_no - window + 1, window)).otherwise(
-        F.concat(
-            _last(_find_all(F.lower("before"), WORD + "+"), window - word_no), F.slice("words", F.lit(1), word_no)
-        )
-    )
-    reached = compute_once(found, {
-        "here": _repeated_part(F.col("body"), f"^{GAP}*", f"{WORD}++{GAP}++", word_no),
-        "certainty": _certainty(near, cues),
-    })
+    word_no, n_words = F.col("word_no"), F.col("n_words")
+    tiles = _find_all("body", _GAP_AND_WORD)
+    reached = compute_once(found, {"here": F.concat(
+        F.array_join(F.slice(tiles, F.lit(1), word_no), ""),
+        F.regexp_extract(F.get(tiles, word_no), f"^{GAP}*", 0),
+    )})
     onwards = F.substring(F.concat("body", "after"), F.length("here") + 1, F.length("body") + F.length("after"))
-    several_words = _repeated_part(onwards, f"^{WORD}+", f"{GAP}+{WORD}+", n_words - 1)
-    placed = compute_once(reached, {
-        "lexical_variant": F.when(n_words == 1, F.regexp_extract(onwards, f"^{WORD}+", 0)).otherwise(several_words),
-    }).filter((n_words == 1) | (_loose(F.col("lexical_variant")) == F.col("loose_term")))
-    match_end = F.length("here") + F.length("lexical_variant")
-    suffix = F.substring(F.concat("body", "after"), match_end + 1, F.lit(snippet_radius))
-    return placed.select(
+    several_words = F.array_join(F.slice(_find_all(onwards, _GAP_AND_WORD), F.lit(1), n_words), "")
+    core = F.when(n_words == 1, F.regexp_extract(onwards, f"^{WORD}+", 0)).otherwise(several_words)
+    placed = compute_once(reached, {"core": core}).filter((n_words == 1) | (_loose(F.col("core")) == F.col("loose_term")))
+    whole = F.concat("before", "body", "after")
+    start = F.length("before") + F.length("here") - F.length("lead")
+    length = F.length("lead") + F.length("core") + F.length("tail")
+    cut = compute_once(placed, {
+        "prefix": F.substring(whole, F.lit(1), start),
+        "lexical_variant": F.substring(whole, start + 1, length),
+        "suffix": F.substring(whole, start + length + 1, F.lit(snippet_radius)),
+    })
+    # The text around the words must be the term's own symbols.
+    symbols = F.startswith(F.col("lexical_variant"), F.col("lead")) & F.endswith(F.col("lexical_variant"), F.col("tail"))
+    return cut.filter(symbols).select(
         "note_id",
         "concept_id",
         "term",
-        (F.col("chunk_start") + F.length("here")).alias("start"),
+        (F.col("chunk_start") - F.length("before") + F.length("prefix")).alias("start"),
         "lexical_variant",
-        "certainty",
-        _snippet(F.concat("before", "here"), suffix, snippet_radius).alias("snippet"),
+        _certainty(F.col("prefix"), cues, cue_window, cue_stops).alias("certainty"),
+        _snippet(F.col("prefix"), F.col("suffix"), snippet_radius).alias("snippet"),
     )
 
 
@@ -182,19 +202,22 @@ def tag_rules(
     *,
     cues: Sequence[str] = NEGATION_CUES,
     cue_window: int = CUE_WINDOW,
+    cue_stops: str | None = CUE_STOPS,
     snippet_radius: int = SNIPPET_RADIUS,
 ) -> DataFrame:
     """Find every match of ``(concept_id, pattern)`` rules, line by line.
 
     Patterns are Java regular expressions without capturing groups, matched without
     regard to case; they go into the plan as literals. Same result columns as ``tag``,
-    with the pattern as ``term``; cues and snippets stay within the line.
+    with the pattern between slashes as ``term``; cues and snippets stay within the line.
     """
+    any_rule = "(?is)" + "|".join(f"(?:{pattern})" for _, pattern in rules)
     lines = (
         notes.select("note_id", _find_all("note_text", _LINE).alias("pieces"))
         .select("note_id", F.inline(F.arrays_zip(
             F.col("pieces").alias("line"), _starts(F.col("pieces")).alias("line_start")
         )))
+        .filter(F.col("line").rlike(any_rule))
     )
 
     def hits(pattern: str, group: int) -> Column:
@@ -204,7 +227,7 @@ def tag_rules(
     per_rule = F.array(*[
         F.struct(
             F.lit(concept_id).alias("concept_id"),
-            F.lit(pattern).alias("term"),
+            F.lit(f"/{pattern}/").alias("term"),
             hits(pattern, 1).alias("gaps"),
             hits(pattern, 2).alias("found"),
         )
@@ -223,14 +246,13 @@ def tag_rules(
     offset = F.col("pair_start") + F.length("gap")
     prefix = F.substring("line", F.lit(1), offset)
     suffix = F.substring("line", offset + F.length("lexical_variant") + 1, F.lit(snippet_radius))
-    near = _last(_find_all(F.lower(prefix), WORD + "+"), F.lit(cue_window))
     return placed.select(
         "note_id",
         "concept_id",
         "term",
         (F.col("line_start") + offset).alias("start"),
         "lexical_variant",
-        _certainty(near, cues).alias("certainty"),
+        _certainty(prefix, cues, cue_window, cue_stops).alias("certainty"),
         _snippet(prefix, suffix, snippet_radius).alias("snippet"),
     )
 
@@ -238,7 +260,11 @@ def tag_rules(
 def to_note_nlp(
     mentions: DataFrame, *, nlp_datetime: dt.datetime | None = None, dense_ids: bool = False
 ) -> DataFrame:
-    """Mentions in the form of the CDM table ``note_nlp``."""
+    """Mentions in the form of the CDM table ``note_nlp``.
+
+    The term or pattern is part of what an id is made of, so two of one concept at one
+    place have ids of their own.
+    """
     when = F.lit(nlp_datetime).cast("timestamp_ntz") if nlp_datetime else F.localtimestamp()
     rows = mentions.select(
         "note_id",
@@ -254,5 +280,6 @@ def to_note_nlp(
         F.when(F.col("certainty") == POSITIVE, "Y").otherwise("N").alias("term_exists"),
         F.lit(None).cast("string").alias("term_temporal"),
         F.concat(F.lit(CERTAINTY_PREFIX), F.col("certainty"), F.lit(",experiencer=Patient")).alias("term_modifiers"),
+        "term",
     )
-    return assign_nlp_id(rows, dense=dense_ids)
+    return assign_nlp_id(rows, dense=dense_ids).drop("term")

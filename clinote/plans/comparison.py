@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clinote import schemas
 from clinote.functions.text import NEGATED, POSITIVE
 from clinote.operators import cohort, crosswalk, evaluate, features, review
 
@@ -27,10 +28,23 @@ class Tables:
     reviews: DataFrame
 
 
-def build_crosswalk(tables: Tables, certainty: str, classes: list[str] | None = None) -> DataFrame:
-    visits = cohort.distinct_selected_visits(tables.visits, tables.checked)
+def checked_tables(tables: Tables) -> Tables:
+    """The tables, or ValueError where one lacks a column that a comparison reads."""
+    for df, schema, columns in [
+        (tables.notes, schemas.NOTE, ["note_id", "person_id", "note_class_concept_id", "visit_occurrence_id"]),
+        (tables.concepts, schemas.CONCEPT, None),
+    ]:
+        schemas.require_columns(df, schema, columns)
+    return tables
+
+
+def build_crosswalk(
+    tables: Tables, certainty: str, classes: list[str] | None = None, names: list[str] | None = None
+) -> DataFrame:
+    checked = checked_tables(tables)
+    visits = cohort.distinct_selected_visits(checked.visits, checked.checked)
     return crosswalk.build(
-        visits, tables.notes, tables.concepts, tables.mentions, certainty=certainty, classes=classes
+        visits, checked.notes, checked.concepts, checked.mentions, certainty=certainty, classes=classes, names=names
     )
 
 
@@ -55,9 +69,18 @@ def eligible_reviews(
 def comparison_table(
     tables: Tables, names: list[str], before: Column | None = None, classes: list[str] | None = None
 ) -> DataFrame:
-    """Eligible reviews with one Yes / null column per concept name."""
-    matrix = features.one_hot(features.concept_counts(positive_crosswalk(tables, classes)), names)
+    """Eligible reviews with one Yes / null column per concept name.
+
+    The reviews come first: only notes of reviewed encounters and mentions of the named
+    concepts meet.
+    """
     reviews = features.drop_suffix(eligible_reviews(tables, before, classes))
+    reviewed = reviews.select(F.col("encounter_number").try_cast("bigint").alias("visit_occurrence_id")).distinct()
+    notes = tables.notes.join(reviewed, "visit_occurrence_id", "left_semi")
+    built = build_crosswalk(
+        replace(tables, notes=notes), POSITIVE, COMPARED_CLASSES if classes is None else classes, names
+    )
+    matrix = features.one_hot(features.concept_counts(built), names)
     return review.with_concepts(reviews, matrix)
 
 

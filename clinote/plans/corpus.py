@@ -30,15 +30,16 @@ def store_corpus(
     *,
     test_fraction: float = ner.TEST_FRACTION,
     seed: str = "0",
-    mode: str = "append",
+    mode: str = "error",
 ) -> DataFrame:
     """Write a corpus with its split and read it back.
 
     The exact split looks at the keys several times, so the documents are computed once
-    into ``work_path`` (shared storage) and split from there.
+    into ``work_path`` (shared storage) and split from there. By default a target that
+    exists is an error, so that a rerun cannot double the corpus.
     """
     sinks.write_table(documents, work_path)
-    stored = readers.read_table(spark, work_path)
+    stored = readers.read_table(spark, work_path, schema=documents.schema)
     placed = ner.split(stored, test_fraction=test_fraction, seed=seed).withColumn("style", F.lit(style))
     sinks.write_corpus(placed, target_path, mode)
     return readers.read_corpus(spark, target_path, style)

@@ -124,6 +124,14 @@ def require(df: DataFrame, schema: StructType, columns: list[str] | None = None)
     return df
 
 
+def require_columns(df: DataFrame, schema: StructType, columns: list[str] | None = None) -> DataFrame:
+    """Like ``require`` for the names alone: tables of a source may hold keys in wider types."""
+    absent = [f.name for f in schema.fields if (columns is None or f.name in columns) and f.name not in df.columns]
+    if absent:
+        raise ValueError("; ".join(f"missing column {name}" for name in absent))
+    return df
+
+
 def describe(df: DataFrame) -> list[tuple[str, str, bool]]:
     """Column metadata of a frame: name, type, nullable."""
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
@@ -132,11 +140,14 @@ def describe(df: DataFrame) -> list[tuple[str, str, bool]]:
 def violations(df: DataFrame, schema: StructType) -> DataFrame:
     """Count null and over-length values per constrained column in one pass over ``df``.
 
-    Result: ``column_name, rule, n_rows`` with one row per declared constraint.
+    Result: ``column_name, rule, n_rows`` with one row per declared constraint. A required
+    column that the frame lacks is reported as ``missing`` in every row.
     """
     rules = []
     for field in schema.fields:
         if field.name not in df.columns:
+            if not field.nullable:
+                rules.append((field.name, "missing", F.lit(True)))
             continue
         if not field.nullable:
             rules.append((field.name, "not_null", F.col(field.name).isNull()))

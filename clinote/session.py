@@ -14,6 +14,8 @@ def build_session(app_name: str = "clinote", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Split a skewed partition even where that costs the reuse of its partitioning.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # A filter of the wanted keys may reach the scan of a text table from up to this size of keys.
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }

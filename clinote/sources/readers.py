@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from clinote import schemas
+from clinote.functions.text import CSV_NULL, with_lines
 
 
 def read_table(
@@ -17,16 +18,6 @@ def read_table(
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a scan of fewer splits than there are cores over all cores, by key.
-
-    Meant for small inputs before costly work per row. A large scan has more splits than
-    that and is returned as it is, so nothing big is ever shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_query(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
     """Result of a SQL text whose ``{name}`` placeholders are the given frames."""
     return spark.sql(query, **tables)
@@ -76,17 +67,24 @@ def read_jdbc_partitioned(spark: SparkSession, url: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(**partitioned_jdbc_options(url, **options)).load()
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header; quoted fields may span lines and double their quotes."""
-    return (
+def read_csv(spark: SparkSession, path: str, schema: StructType, *, one_line: bool = False) -> DataFrame:
+    """CSV with a header; quoted fields may double their quotes, and span lines.
+
+    A file with fields over several lines cannot be split: each file is one task. Files
+    written with ``one_line`` hold a row per line and are split like any other.
+    """
+    df = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", not one_line)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", CSV_NULL)
+        .option("emptyValue", "")
         .option("enforceSchema", False)
         .csv(path)
     )
+    return with_lines(df) if one_line else df
 
 
 def read_staging(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +100,8 @@ def read_corpus(
     spark: SparkSession, path: str, style: str | None = None, split: str | None = None
 ) -> DataFrame:
     """Annotated corpus; style and split are partition folders, so other ones are not read."""
-    df = spark.read.parquet(path)
+    partitions = [StructField("style", StringType()), StructField("split", StringType())]
+    df = spark.read.schema(StructType([*schemas.CORPUS.fields, *partitions])).parquet(path)
     if style is not None:
         df = df.filter(F.col("style") == style)
     if split is not None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from clinote.functions.text import CSV_NULL, without_lines
+
 # Target column and its source, in insert order. The time of tagging
 # fills the date column.
 NOTE_NLP_MAPPING = [
@@ -39,10 +41,15 @@ def map_columns(
     return df.select(*[value(target, source) for target, source in mapping])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """CSV with a header that ``readers.read_csv`` gives back unchanged, but for empty text, read as null."""
+def write_csv(df: DataFrame, path: str, mode: str = "error", *, one_line: bool = False) -> None:
+    """CSV with a header that ``readers.read_csv`` gives back unchanged; null is marked, empty text is not null.
+
+    With ``one_line`` line ends in texts are escaped, so that a large file can be split.
+    """
     (
-        df.write.mode(mode)
+        (without_lines(df) if one_line else df).write.mode(mode)
+        .option("nullValue", CSV_NULL)
+        .option("emptyValue", '""')
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')

@@ -120,7 +120,6 @@ def test_exclusions(mentions, concepts, rows):
     kept = crosswalk.exclude_concept_ids(mentions, [2])
     assert rows(kept, "note_nlp_id") == [(1,), (2,), (3,), (5,), (7,)]
     assert crosswalk.exclude_concept_ids(mentions, []).count() == 6
-    assert rows(features.vocabulary(concepts, mentions)) == [("Fever",), ("NC",)]
 
 
 def test_reviews_keep_index_repeats_and_bound(spark, notes, concepts, visits, checked, rows):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from clinote.operators import errors, evaluate, review
 
@@ -65,13 +66,15 @@ def test_examples_follow_the_crosswalk(spark, compared, rows):
         [(4, "Fever", 50, 500, 10), (4, "Fever", 50, 501, 10), (4, "Dry cough", 50, 502, 10), (3, "Fever", 51, 503, 10)],
         "encounter_number long, note_nlp_concept_name string, note_id long, note_nlp_id long, note_class_concept_id int",
     )
-    metadata = spark.createDataFrame(
-        [("s1", "fever", 50, 500, ["a"], 1, (0, 5)), ("s2", "fever", 50, 501, ["a"], 1, (1, 6))],
-        "sha1 string, lexical_variant string, note_id long, note_nlp_id long, term_modifiers array<string>, "
-        "note_nlp_concept_id int, offsets struct<start:int,end:int>",
+    mentions = spark.createDataFrame(
+        [(500, 50, "-fever", "fever", 1, "certainty=Positive"), (501, 50, "a fever", "fever", 1, "certainty=Positive"),
+         (777, 50, "-fever", "fever", 1, "certainty=Positive")],
+        "note_nlp_id long, note_id long, snippet string, lexical_variant string, note_nlp_concept_id int, "
+        "term_modifiers string",
     )
-    corpus = spark.createDataFrame([("s1", "-fever")], "sha1 string, text string")
-    found = errors.examples(compared, PAIRS, "fp", walk, metadata, corpus)
+    corpus = mentions.filter("note_nlp_id = 500").select(F.sha1("snippet").alias("sha1"), F.col("snippet").alias("text"))
+    found = errors.error_mentions(compared, PAIRS, "fp", walk)
+    found = errors.examples(found, mentions, corpus, exclude_ids=[])
     assert rows(found, "note_nlp_id", "meta_note_id", "position", "text") == [(500, 50, 0, "'-fever'")]
 
 

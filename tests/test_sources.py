@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinote import schemas
-from clinote.functions.sizing import is_small
 from clinote.operators import ingest, profile
 from clinote.plans import comparison
 from clinote.session import scratch_path
@@ -22,7 +21,7 @@ def documents(spark):
 def test_csv_round_trip(spark, documents, rows):
     path = scratch_path(spark, "csv")
     sinks.write_csv(documents, path)
-    wanted = documents.withColumn("file_text", F.nullif("file_text", F.lit("")))
+    wanted = documents
     assert rows(readers.read_staging(spark, path)) == rows(wanted)
 
 
@@ -49,17 +48,6 @@ def test_corpus_partitions_are_pruned(spark):
     assert "PartitionFilters: [isnotnull(style" in chosen._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    small, large = spark.range(0, 100, 1, 2), spark.range(0, 100, 1, 64)
-    assert readers.spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert readers.spread(large, "id") is large
-
-
-def test_is_small(spark):
-    assert is_small(spark.range(10), 10)
-    assert not is_small(spark.range(11), 10)
-
-
 def test_jdbc_options():
     options = readers.partitioned_jdbc_options(
         "jdbc:x:y", query="select note_id, note_text from note", id_column="note_id",
@@ -97,9 +85,14 @@ def test_mapping_cuts_snippet_and_renames_the_date(spark):
 
 def test_require_and_violations(spark, rows):
     df = spark.createDataFrame([(1, None, "x" * 251), (None, 2, "ok")], "note_id long, person_id long, note_title string")
-    assert rows(schemas.violations(df, schemas.NOTE)) == [
+    report = rows(schemas.violations(df, schemas.NOTE))
+    assert [r for r in report if r[1] != "missing"] == [
         ("note_id", "not_null", 1), ("note_title", "max_length_250", 1), ("person_id", "not_null", 1)
     ]
+    assert [r[0] for r in report if r[1] == "missing"] == sorted([
+        "note_date", "note_type_concept_id", "note_class_concept_id", "encoding_concept_id", "language_concept_id"
+    ])
+    assert all(r[2] == 2 for r in report if r[1] == "missing")
     schemas.require(df, schemas.NOTE, ["note_id", "person_id"])
     with pytest.raises(ValueError, match="missing column note_date"):
         schemas.require(df, schemas.NOTE)
@@ -159,3 +152,31 @@ def test_stage_counts(spark, rows):
 def test_read_query(spark, rows):
     found = readers.read_query(spark, "select id from {t} where id > 1", t=spark.range(4))
     assert rows(found) == [(2,), (3,)]
+
+
+TEXTS = ["", None, "a\nb", 'say "x"', "\\n back\\slash", "\r\n", "-1", "  spaced ", "\\\\N", ","]
+
+
+@pytest.mark.parametrize("one_line", [False, True])
+def test_csv_gives_back_what_was_written(spark, tmp_path, one_line):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
+    path = str(tmp_path / "csv")
+    sinks.write_csv(df, path, one_line=one_line)
+    back = readers.read_csv(spark, path, df.schema, one_line=one_line)
+    assert {r["id"]: r["text"] for r in back.collect()} == dict(enumerate(TEXTS))
+
+
+def test_bad_keys_become_null_and_are_counted(spark):
+    documents = spark.createDataFrame(
+        [("1", "12abc", "7", None, "t", "m", "x"), ("y", "2", "8", None, "t", "m", "x")],
+        "id string, patient_id string, encounter_id string, document_datetime timestamp_ntz, document_type string, "
+        "mapped_document_type string, file_text string",
+    )
+    note = ingest.documents_to_note(documents)
+    counted = {(r["column_name"], r["rule"]): r["n_rows"] for r in schemas.violations(note, schemas.NOTE).collect()}
+    assert counted["note_id", "not_null"] == counted["person_id", "not_null"] == 1
+
+
+def test_profiles_are_sorted_for_reading(spark):
+    df = spark.createDataFrame([("b", "y"), ("a", "z"), ("a", "x")], "note_class_concept_name string, note_nlp_concept_name string")
+    assert [tuple(r) for r in profile.for_reading(df).collect()] == [("a", "x"), ("a", "z"), ("b", "y")]

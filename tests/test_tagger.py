@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,32 +43,77 @@ def expected(text, window):
     spaced = {1: r"cough", 2: r"fever", 3: r"shortness[\s-]+of[\s-]+breath"}
     for concept, pattern in spaced.items():
         for m in re.finditer(rf"(?<!\w){pattern}(?!\w)", text, re.I):
-            before = re.findall(r"\w+", text[: m.start()].lower())[-window:]
+            reached = re.split(tagger.CUE_STOPS, text[: m.start()])[-1]
+            before = re.findall(r"\w+", reached.lower())[-window:]
             negated = any(w in tagger.NEGATION_CUES for w in before)
             snippet = text[max(0, m.start() - 120): m.end() + 120]
             out.add((m.start(), concept, m.group(), "Negated" if negated else "Positive", snippet))
     return out
 
 
-@pytest.mark.parametrize("max_rows", [0, 1000])
-@pytest.mark.parametrize("words", [1, 127, 128, 129, 1000])
-def test_whole_long_notes_with_and_without_broadcast(spark, lexicon, words, max_rows):
+@pytest.mark.parametrize("hint", ["broadcast", "merge"])
+@pytest.mark.parametrize("words", [1, 63, 64, 65, 1000])
+def test_whole_long_notes_with_and_without_broadcast(spark, lexicon, words, hint):
     text = long_note(words, words)
-    found = tagger.tag(notes(spark, text), lexicon, max_broadcast_rows=max_rows)
+    found = tagger.tag(notes(spark, text), lexicon.hint(hint))
     got = {tuple(r) for r in found.select("start", "concept_id", "lexical_variant", "certainty", "snippet").collect()}
     assert got == expected(text, tagger.CUE_WINDOW)
 
 
-def test_nothing_is_shuffled_with_a_small_lexicon(spark, lexicon):
-    plan = tagger.tag(notes(spark, NOTE), lexicon)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    assert "Exchange hashpartitioning" not in plan
+def test_text_is_not_shuffled_with_a_small_lexicon(spark, lexicon):
+    plan = tagger.tag(notes(spark, NOTE), lexicon.hint("broadcast"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(note_id", plan)
 
 
-def test_a_big_lexicon_shuffles_positions_only(spark, lexicon):
-    found = tagger.tag(notes(spark, NOTE), lexicon, max_broadcast_rows=1)
-    assert found.count() == 6
-    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+def test_repeated_notes_give_the_same_on_every_plan(spark, lexicon, rows):
+    twice = notes(spark, NOTE).union(notes(spark, NOTE))
+    plans = [rows(tagger.tag(twice, lexicon.hint(hint))) for hint in ("broadcast", "merge")]
+    assert plans[0] == plans[1] and len(plans[0]) == 12
+
+
+def test_symbols_of_a_term_count(spark, rows):
+    signs = spark.createDataFrame([(1, "HER2+"), (2, "HER2-"), (3, "HER2"), (4, "(no)")], "concept_id int, term string")
+    found = tagger.tag(notes(spark, "HER2- tumour, her2+ (NO) no"), signs)
+    assert rows(found, "start", "concept_id", "lexical_variant") == sorted(
+        [(0, 2, "HER2-"), (0, 3, "HER2"), (14, 1, "her2+"), (14, 3, "her2"), (20, 4, "(NO)")], key=repr
+    )
+
+
+def test_unusable_terms_are_reported(spark, lexicon):
+    assert [r["term"] for r in tagger.unusable_terms(lexicon).collect()] == ["--"]
+
+
+def test_ids_are_unique_over_terms_and_rules(spark):
+    doubled = spark.createDataFrame([(1, "dry cough"), (1, "dry-cough"), (1, "cough")], "concept_id int, term string")
+    text = notes(spark, "a dry cough, dry-cough")
+    found = tagger.tag(text, doubled).unionByName(tagger.tag_rules(text, [(1, "dry.cough"), (1, "cough")]))
+    for dense in (False, True):
+        ids = [r[0] for r in tagger.to_note_nlp(found, dense_ids=dense).select("note_nlp_id").collect()]
+        assert len(ids) == len(set(ids)) == 8
+
+
+def test_cues(spark, lexicon, rows):
+    found = tagger.tag(notes(spark, "No fever. Cough present; no fever"), lexicon)
+    assert rows(found, "start", "certainty") == [(10, "Positive"), (28, "Negated"), (3, "Negated")]
+    everywhere = tagger.tag(notes(spark, "No fever. Cough present"), lexicon, cue_stops=None)
+    assert {r["certainty"] for r in everywhere.collect()} == {"Negated"}
+    with pytest.raises(ValueError):
+        tagger.tag(notes(spark, NOTE), lexicon, cues=["no evidence of"])
+
+
+def test_time_grows_with_the_length_of_a_note(spark):
+    """Twice the lines take about twice the time; a square would take four times."""
+    def seconds(lines):
+        text = notes(spark, "abc def\n" * lines)
+        best = []
+        for _ in range(3):
+            started = time.perf_counter()
+            tagger.tag_rules(text, [(1, "def")]).write.format("noop").mode("overwrite").save()
+            best.append(time.perf_counter() - started)
+        return min(best)
+
+    seconds(1000)
+    assert seconds(128_000) < 3 * seconds(64_000)
 
 
 def test_rules(spark, rows):

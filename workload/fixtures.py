@@ -1,6 +1,6 @@
 """The driver's tables as clinical tables (see FIXTURES.md).
 
-Fixed values: the lexicon, the note classes and the negation cues of the synthetic text.
+Fixed values: the lexicons, the note classes and the negation cues of the synthetic text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from clinote import schemas
 from clinote.functions.columns import compute_once
 from clinote.plans.comparison import Tables
-from clinote.sources.readers import read_table, spread
+from clinote.sources.readers import read_table
 
 LEXICON = [
     (101, "Contempt", "trash"),
@@ -37,6 +37,17 @@ CLASSES = [
     (203, "Discharge summary"),
     (204, "Progress"),
 ]
+# Terms of several words, with hyphens and with symbols.
+WIDE_LEXICON = [
+    (301, "Phrase", "of the"),
+    (301, "Phrase", "of-the"),
+    (301, "Phrase", "in-the"),
+    (302, "Other phrase", "de la"),
+    (303, "Shouted", "the!!"),
+    (304, "Plain", "the"),
+    (305, "Marked", "(the"),
+]
+RULES = [(401, r"licen[cs]e\w*"), (402, r"worthless \w+"), (403, r"\btoken\b")]
 EXCLUDED_ID = 106
 CUES = ["the", "of", "and", "in"]
 BLOCK = 12
@@ -85,6 +96,10 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return _inline(spark, LEXICON, schemas.LEXICON)
 
 
+def wide_lexicon(spark: SparkSession) -> DataFrame:
+    return _inline(spark, WIDE_LEXICON, schemas.LEXICON)
+
+
 def concepts(spark: SparkSession) -> DataFrame:
     known = sorted({(i, name) for i, name, _ in LEXICON}) + CLASSES
     return _inline(spark, known, schemas.CONCEPT)
@@ -110,10 +125,9 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``note_id, note_text`` for tagging, read without a join."""
-    texts = table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("note_id"), F.col("text").alias("note_text")
     )
-    return spread(texts, "note_id")
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +188,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     encounter exists are kept, as for the notes.
     """
     words = (
-        spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+        table(spark, sf_dir, "documents").select("doc_id", "text")
         .select(
             F.col("doc_id").alias("note_id"),
             F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"),
@@ -188,7 +202,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The lexicon above is sixteen fixed rows.
     hits = words.join(F.broadcast(terms), F.col("word") == F.col("term"))
     found = compute_once(hits.withColumnsRenamed({"term": "lexical_variant", "concept_id": "note_nlp_concept_id"}), {
-        "note_nlp_id": F.col("note_id") * 100_000 + at + 1,
+        "note_nlp_id": F.col("note_id") * 1_000_000_000 + at + 1,
         "snippet": F.when(F.col("note_id") % 5 == 0, F.concat(F.lit(STAMP), block)).otherwise(block),
         "term_modifiers": F.when(before.isin(CUES), "certainty=Negated,experiencer=Patient").otherwise(
             "certainty=Positive,experiencer=Patient"

@@ -61,7 +61,7 @@ def csv_roundtrip(spark, sf):
 @query
 def json_roundtrip(spark, sf):
     path = scratch_path(spark, "concept-lists")
-    lists = features.concept_lists(_counts(spark, sf))
+    lists = features.concept_lists(_reviewed(spark, sf))
     sinks.write_json(lists, path)
     return _list_text(readers.read_json(spark, path, lists.schema))
 
@@ -135,8 +135,8 @@ def text_records(spark, sf):
 
 @query
 def record_batches(spark, sf):
-    records = store(spark, annotate.text_records(_followup(spark, sf)).select("id"), "records")
-    return annotate.with_batch_id(records, 50)
+    records = store(spark, annotate.text_records(_followup(spark, sf)), "records")
+    return annotate.with_batch_id(records, 50).select("id", F.col("inputs")["text"].alias("text"), "batch_id")
 
 
 # Filters and small reports
@@ -220,7 +220,8 @@ def match_coverage_by_class(spark, sf):
 
 @query
 def mentions_by_class_concept(spark, sf):
-    return profile.by_class_and_concept(fx.notes(spark, sf), fx.mentions(spark, sf), fx.concepts(spark))
+    counted = profile.by_class_and_concept(fx.notes(spark, sf), fx.mentions(spark, sf), fx.concepts(spark))
+    return profile.for_reading(counted)
 
 
 @query
@@ -237,22 +238,11 @@ def used_concepts(spark, sf):
 
 # Crosswalk, features, reviews
 
-def _stored_tables(spark, sf):
-    """Tables with the mentions stored: queries that keep unmatched notes read them twice."""
-    tables = fx.comparison(spark, sf)
-    return replace(tables, mentions=store(spark, tables.mentions.drop("snippet"), "mentions"))
-
-
 def _all_classes(spark, sf, certainty):
-    return comparison.build_crosswalk(_stored_tables(spark, sf), certainty)
-
-
-def _whole_crosswalk(spark, sf):
-    return comparison.positive_crosswalk(_stored_tables(spark, sf))
+    return comparison.build_crosswalk(fx.comparison(spark, sf), certainty)
 
 
 def _crosswalk(spark, sf):
-    """For queries on matched rows, which need a single pass over the mentions."""
     return comparison.positive_crosswalk(fx.comparison(spark, sf))
 
 
@@ -260,6 +250,17 @@ def _counts(spark, sf):
     return features.concept_counts(_crosswalk(spark, sf))
 
 
+def _with_unmatched(spark, sf):
+    built = store(spark, _crosswalk(spark, sf), "crosswalk")
+    return features.with_unmatched(features.concept_counts(built), features.unmatched_classes(built))
+
+
+def _reviewed(spark, sf):
+    """Counts and pairs without mentions, of reviewed encounters."""
+    keyed = _reviews(spark, sf).withColumn("encounter_number", F.col("encounter_number").try_cast("bigint"))
+    return features.reviewed_concepts(_with_unmatched(spark, sf), keyed)
+
+
 def _reviews(spark, sf):
     return comparison.eligible_reviews(fx.comparison(spark, sf), reviewed_before())
 
@@ -290,13 +291,13 @@ def crosswalk_negated(spark, sf):
 @query
 def crosswalk_sorted(spark, sf):
     return sinks.sort_nulls_last(
-        _whole_crosswalk(spark, sf), "encounter_number", "note_class_concept_name", "note_nlp_concept_id"
+        _crosswalk(spark, sf), "encounter_number", "note_class_concept_name", "note_nlp_concept_id"
     )
 
 
 @query
 def visit_core(spark, sf):
-    return crosswalk.visit_core(_whole_crosswalk(spark, sf))
+    return crosswalk.visit_core(_crosswalk(spark, sf))
 
 
 @query
@@ -306,29 +307,37 @@ def concept_counts(spark, sf):
 
 @query
 def unmatched_classes(spark, sf):
-    return features.unmatched_classes(_whole_crosswalk(spark, sf))
+    return features.unmatched_classes(_crosswalk(spark, sf))
 
 
 @query
 def concept_counts_with_unmatched(spark, sf):
-    built = store(spark, _whole_crosswalk(spark, sf), "crosswalk")
-    return features.with_unmatched(features.concept_counts(built), features.unmatched_classes(built))
+    return _with_unmatched(spark, sf)
+
+
+@query
+def unmatched_notes(spark, sf):
+    return crosswalk.unmatched(_crosswalk(spark, sf)).select("encounter_number", "note_id", "note_class_concept_name")
 
 
 @query
 def reviewed_concepts(spark, sf):
-    keyed = _reviews(spark, sf).withColumn("encounter_number", F.col("encounter_number").try_cast("bigint"))
-    return features.reviewed_concepts(_counts(spark, sf), keyed)
+    return _reviewed(spark, sf)
 
 
 @query
 def concept_lists(spark, sf):
-    return _list_text(features.concept_lists(_counts(spark, sf)))
+    return _list_text(features.concept_lists(_reviewed(spark, sf)))
 
 
 @query
 def concept_one_hot(spark, sf):
-    return _plain(features.one_hot(_counts(spark, sf), fx.NAMES))
+    return _plain(features.one_hot(_reviewed(spark, sf), fx.NAMES))
+
+
+@query
+def concepts_without_column(spark, sf):
+    return features.left_out(_reviewed(spark, sf), fx.NAMES[:4])
 
 
 @query
@@ -368,16 +377,27 @@ def nlp_performance(spark, sf):
 
 @query
 def stage_counts(spark, sf):
-    tables = _stored_tables(spark, sf)
+    tables = fx.comparison(spark, sf)
     everything = store(spark, comparison.build_crosswalk(tables, POSITIVE), "crosswalk")
     positive = everything.filter(F.col("note_class_concept_name").isin(comparison.COMPARED_CLASSES))
+    counts = features.concept_counts(positive)
+    rows = store(spark, features.with_unmatched(counts, features.unmatched_classes(positive)), "concept-rows")
+    reviews = comparison.eligible_reviews(tables, reviewed_before())
+    keyed = reviews.withColumn("encounter_number", F.col("encounter_number").try_cast("bigint"))
+    split = ner.split(store(spark, _corpus(spark, sf, ner.POSITIVE_CONCEPTS).select("sha1"), "corpus-keys"))
     return comparison.stage_counts({
         "positive crosswalk": everything,
         "positive crosswalk in classes": positive,
         "negated crosswalk": comparison.build_crosswalk(tables, NEGATED),
+        "negated crosswalk in classes": comparison.negated_crosswalk(tables),
         "visits": crosswalk.visit_core(positive),
-        "chart reviews": comparison.eligible_reviews(tables, reviewed_before()),
-        "concept rows": features.concept_counts(positive),
+        "chart reviews": reviews,
+        "concept rows": counts,
+        "concept rows before review": rows,
+        "concept rows after review": features.reviewed_concepts(rows, keyed),
+        "snippets": ner.snippet_groups(_located(spark, sf)),
+        "training documents": split.filter("split = 'train'"),
+        "test documents": split.filter("split = 'test'"),
     })
 
 
@@ -397,6 +417,26 @@ def mention_certainty(spark, sf):
     return _tagged(spark, sf).select("note_id", "start", "concept_id", "certainty")
 
 
+@query
+def tag_wide_terms(spark, sf):
+    """Terms of several words, with hyphens and with symbols."""
+    found = tagger.tag(fx.note_texts(spark, sf), fx.wide_lexicon(spark))
+    return found.select("note_id", "concept_id", "term", "start", "lexical_variant")
+
+
+@query
+def tag_wide_terms_shuffled(spark, sf):
+    """The same with a lexicon that is joined by shuffling, as one too large to be sent around."""
+    found = tagger.tag(fx.note_texts(spark, sf), fx.wide_lexicon(spark).hint("merge"))
+    return found.select("note_id", "concept_id", "term", "start", "lexical_variant")
+
+
+@query
+def tag_rules(spark, sf):
+    found = tagger.tag_rules(fx.note_texts(spark, sf), fx.RULES)
+    return found.select("note_id", "concept_id", "term", "start", "lexical_variant")
+
+
 @query
 def note_nlp(spark, sf):
     tagged = store(spark, _tagged(spark, sf), "tagged")
@@ -483,10 +523,9 @@ def ner_negated_concepts(spark, sf):
 
 @query
 def ner_corpus(spark, sf):
-    """All three styles side by side."""
-    first, concepts = store(spark, _first(spark, sf), "first-variants"), fx.concepts(spark)
-    styles = [_corpus_text(ner.corpus(first, concepts, s)).withColumn("style", F.lit(s)) for s in ner.STYLES]
-    return styles[0].unionByName(styles[1]).unionByName(styles[2])
+    """All three styles side by side, from one pass."""
+    documents = ner.corpora(_first(spark, sf), fx.concepts(spark))
+    return documents.select("sha1", "text", spans_text("ents").alias("ents"), "style")
 
 
 @query
@@ -521,28 +560,28 @@ def ner_split(spark, sf):
 
 @query
 def excel_safe_text(spark, sf):
-    documents = fx.table(spark, sf, "documents")
-    line = F.regexp_extract("text", "-[^\n]*", 0)
-    return documents.select("doc_id", spreadsheet_safe(line).alias("text"))
+    """Whole texts; every seventh one is made to open like a formula."""
+    opened = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("-"), F.col("text"))).otherwise(F.col("text"))
+    return fx.table(spark, sf, "documents").select("doc_id", spreadsheet_safe(opened).alias("text"))
 
 
 # Errors and follow-up
 
 def _examples(spark, sf, kind, certainty, style):
-    """Mentions and corpus are stored first, as both are read in several places."""
+    """Mentions, errors and corpus are stored first, as each is read in several places."""
     tables = fx.comparison(spark, sf)
     tables = replace(tables, mentions=store(spark, tables.mentions, "mentions"))
-    located = ner.prepare(tables.mentions, exclude_ids=[fx.EXCLUDED_ID])
-    documents = store(spark, ner.corpus(ner.first_variants(located), tables.concepts, style), "corpus")
-    found = errors.examples(
-        comparison.comparison_table(tables, fx.NAMES, reviewed_before()),
-        fx.PAIRS,
-        kind,
-        comparison.build_crosswalk(tables, certainty, comparison.COMPARED_CLASSES),
-        ner.metadata(located),
-        documents,
+    documents = corpus_plan.build_corpus(tables.mentions, tables.concepts, style, exclude_ids=[fx.EXCLUDED_ID])
+    names = comparison.pair_names(fx.PAIRS)
+    found = errors.error_mentions(
+        comparison.comparison_table(tables, names, reviewed_before()), fx.PAIRS, kind,
+        comparison.build_crosswalk(tables, certainty, comparison.COMPARED_CLASSES, names),
     )
-    flat = found.withColumns({
+    examples = errors.examples(
+        store(spark, found, "error-mentions"), tables.mentions, store(spark, documents, "corpus"),
+        exclude_ids=[fx.EXCLUDED_ID],
+    )
+    flat = examples.withColumns({
         "term_modifiers": F.array_join("term_modifiers", "|"),
         "start": F.col("offsets.start"),
         "end": F.col("offsets.end"),
@@ -569,3 +608,26 @@ def _followup(spark, sf):
 @query
 def long_followup_notes(spark, sf):
     return _followup(spark, sf)
+
+
+# From notes to figures, all by the tagger
+
+def _tagged_nlp(spark, sf):
+    """Stored ``note_nlp`` rows of the tagger, of notes whose encounter exists."""
+    rows = store(spark, _tagged(spark, sf), "tagged")
+    tagged = tagger.to_note_nlp(rows, nlp_datetime=NLP_TIME, dense_ids=True)
+    known = fx.notes(spark, sf).select("note_id").distinct()
+    return store(spark, tagged.join(known, "note_id", "left_semi"), "tagged")
+
+
+@query
+def tagged_performance(spark, sf):
+    tables = replace(fx.comparison(spark, sf), mentions=_tagged_nlp(spark, sf))
+    return comparison.performance(tables, fx.PAIRS, reviewed_before())
+
+
+@query
+def tagged_corpus(spark, sf):
+    located = ner.prepare(_tagged_nlp(spark, sf), exclude_ids=[fx.EXCLUDED_ID])
+    documents = ner.corpora(ner.first_variants(located), fx.concepts(spark))
+    return documents.select("sha1", "text", spans_text("ents").alias("ents"), "style")
