@@ -194,7 +194,7 @@ class MergeAutomaton:
 class Encoder:
     """Encodes batches of texts; each distinct piece between lone blanks is encoded once."""
 
-    def __init__(self, automaton: MergeAutomaton, max_known: int = 1_000_000):
+    def __init__(self, automaton: MergeAutomaton, max_known: int = 400_000):
         self.automaton = automaton
         self._pre_split = regex.compile(PRE_SPLIT)
         self._special = regex.compile("|".join(map(regex.escape, sorted(automaton.special, key=len, reverse=True)))) \

@@ -146,23 +146,21 @@ def _sketch(df: DataFrame, words: int) -> DataFrame:
     """``id, n_bytes, n, d1, d2, sig``: shingles, digest of their set, signature; null where there are none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE_BYTES):
-            for at in range(0, batch.num_rows, 1 << 15):
-                part = batch.slice(at, 1 << 15)
-                hashes, counts = shingles(part.column(1), words)
-                full = counts > 0
-                made = signatures(hashes, counts[full], BANDS * ROWS)
-                starts = (np.cumsum(counts) - counts)[full]
-                sums = [np.add.reduceat(mix(hashes, seed), starts) if len(starts) else np.empty(0, np.uint64)
-                        for seed in (1, 2)]
-                place = iter(range(len(made)))
-                rows = [next(place) if f else None for f in full.tolist()]
-                digests = [s.view(np.int64).tolist() for s in sums]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts),
-                     *[pa.array([None if r is None else d[r] for r in rows], pa.int64()) for d in digests],
-                     pa.array([None if r is None else made[r].tobytes() for r in rows], pa.binary())],
-                    names=["id", "n", "d1", "d2", "sig"],
-                )
+            hashes, counts = shingles(batch.column(1), words)
+            full = counts > 0
+            made = signatures(hashes, counts[full], BANDS * ROWS)
+            starts = (np.cumsum(counts) - counts)[full]
+            sums = [np.add.reduceat(mix(hashes, seed), starts) if len(starts) else np.empty(0, np.uint64)
+                    for seed in (1, 2)]
+            place = iter(range(len(made)))
+            rows = [next(place) if f else None for f in full.tolist()]
+            digests = [s.view(np.int64).tolist() for s in sums]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts),
+                 *[pa.array([None if r is None else d[r] for r in rows], pa.int64()) for d in digests],
+                 pa.array([None if r is None else made[r].tobytes() for r in rows], pa.binary())],
+                names=["id", "n", "d1", "d2", "sig"],
+            )
 
     return map_batches(df, run, "id long, n long, d1 long, d2 long, sig binary")
 

@@ -20,7 +20,7 @@ from clinote.llm.workers import map_batches, slices
 
 UNDETERMINED = "und"
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES, _SLICE_ROWS = 2 << 20, 256  # a row takes a vector of all dimensions
 
 
 @dataclasses.dataclass(frozen=True)
@@ -112,7 +112,7 @@ def train(
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _SLICE_BYTES):
+        for batch in slices(batches, "text", _SLICE_BYTES, _SLICE_ROWS):
             made, has_letters = features(batch.column(0), dimensions)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v.tobytes() for v in made[has_letters]], pa.binary()),
@@ -172,7 +172,7 @@ def predict(
     columns are left out.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _SLICE_BYTES):
+        for batch in slices(batches, "text", _SLICE_BYTES, _SLICE_ROWS):
             names, scores, unsure = _judge(model, batch.column(1), min_lead)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure)],
@@ -188,7 +188,7 @@ def keep_determined(df: DataFrame, model: Model | None, *, text: str = "text", m
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, _SLICE_BYTES):
+        for batch in slices(batches, text, _SLICE_BYTES, _SLICE_ROWS):
             names, _, unsure = _judge(model, batch.column(columns.index(text)), min_lead)
             keep = [name != UNDETERMINED and not doubt for name, doubt in zip(names, unsure)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -134,7 +134,7 @@ class MergeRanks:
 class Counter:
     """Counts the tokens of batches of texts; each distinct pre-token is merged once."""
 
-    def __init__(self, ranks: MergeRanks, max_known: int = 1_000_000):
+    def __init__(self, ranks: MergeRanks, max_known: int = 400_000):
         self._ranks = ranks
         self._words = regex.compile(f"{BLANK}+[^{BLANK}]*")
         self._store = PieceStore(self._count, max_known)

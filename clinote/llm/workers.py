@@ -21,7 +21,9 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 4 << 20, max_rows: int = 1 << 15
+) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in batches of about ``max_bytes`` of the string column ``text``.
 
     A text longer than that makes a batch of its own.
@@ -30,7 +32,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 16 <<
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         first = held = 0
         for row, size in enumerate(sizes):
-            if held and held + size > max_bytes:
+            if row > first and (held + size > max_bytes or row - first >= max_rows):
                 yield batch.slice(first, row - first)
                 first, held = row, 0
             held += size
