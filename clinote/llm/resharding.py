@@ -28,6 +28,7 @@ BLOCKS = 256
 #: Rows are placed in layers: of at least so many bytes, then the next, then the rest.
 LAYER_BYTES = (65_536, 4_096, 512)
 _HASHES = 1 << 60
+PART_BYTES, MAX_GROUPS = 64 << 20, 1_000_000
 
 
 def min_cost_flow(
@@ -236,17 +237,20 @@ def rewrite(
     """Write the affected shards to ``path`` (a folder ``shard=n`` each) and return the written table.
 
     Columns: ``key, text, old, shard, slot``; slots are gapless from 0 within a shard. Rows of
-    shards that neither give nor take are not touched. A hash prefix cuts a shard into
-    parts that are written side by side, so no shard passes through one task.
+    shards that neither give nor take are not touched. Hash ranges cut a shard into parts of
+    about ``PART_BYTES`` that are written side by side, so no shard passes through one task.
     """
     rows = df.select(F.col(key).alias(key), F.col(text).alias("text"), F.col(old).cast("int").alias("old"))
     placed = assign(rows, "old", made, key=key).filter(F.col("shard").isin(made.affected()))
     spark = df.sparkSession
-    group = ["shard", "part", "old", "layer", "block"]
-    part = F.floor(F.col("block") / 16).cast("int")
+    group = ["shard", "part", "old", "layer"]
+    news = len({new for _, new in made.flow}) or 1
+    parts = -(-sum(made.flow.values()) // (news * PART_BYTES))
+    parts = max(16, min(parts, MAX_GROUPS // (news * max(1, len(made.ranges)))))
+    part = F.floor(F.col("hash") / (_HASHES // parts)).cast("int")
     counted = placed.withColumn("part", part).groupBy(*group).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("part", "old", "layer", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # At most shards x layers x blocks rows, whatever the data.
+    before = Window.partitionBy("shard").orderBy("part", "old", "layer").rowsBetween(Window.unboundedPreceding, -1)
+    # At most MAX_GROUPS rows, whatever the data.
     firsts = counted.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy(*group).orderBy("hash", key)
     numbered = (
