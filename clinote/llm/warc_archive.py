@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinote.llm.workers import map_batches
+from clinote.session import store
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -99,7 +100,9 @@ def write(
     ).filter(F.col("key").isNotNull())
     hashed = rows.select("key", F.sha1("payload").alias("sha1"), F.length("payload").alias("bytes"))
     firsts = hashed.filter(F.col("bytes") >= min_revisit_bytes).groupBy("sha1").agg(F.min("key").alias("first"))
+    # Stored, so that the planner knows its size and moves the payloads only where revisits are many.
     revisits = hashed.join(firsts, "sha1").filter("key <> first").select("key", "sha1", "first").distinct()
+    revisits = store(pages.sparkSession, revisits, "revisits")
     marked = rows.withColumn("sha1", F.sha1("payload")).join(revisits, ["key", "sha1"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
