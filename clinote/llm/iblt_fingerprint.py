@@ -4,11 +4,13 @@ A text is the set of its paragraphs. The digest of a paragraph is added to three
 a table; a cell holds a count, the XOR of its digests and the XOR of their check sums. Tables
 of two versions subtract cell by cell, which leaves the paragraphs that differ; a cell with
 one digest gives it away, and taking that out of its other cells peels the rest. Where
-peeling gets stuck, larger tables are built and tried, and past the largest the digests
-themselves are compared.
+peeling gets stuck, a larger table is tried: one of as many blocks as the two texts have
+paragraphs for. A block that gets stuck again is tried with 4 and 32 times its cells, and the
+digests of a block that even these do not part are compared.
 
-A table consists of independent blocks of 24 cells, so its cost grows with the number of
-paragraphs and not with its square. Everything is a column expression.
+Blocks are independent and hold 24 cells for some eight paragraphs, so the cost grows with the
+number of paragraphs and not with its square. Everything is a column expression, a group or a
+window; what is done for a text stays in the partition that got its text.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clinote.functions.columns import compute_once
 
 CELLS, PART = 24, 8  # a block has three parts, and a digest a cell in each
-#: Blocks of the tables that are tried in turn; the first is the fingerprint.
+#: Blocks of the tables that are tried in turn for a set of digests; the first is the fingerprint.
 BLOCKS = (1, 4, 32)
+#: Digests of both texts for which a larger table has one block.
+BLOCK_DIGESTS = 8
 ROUNDS = 6
 _CHECK, _PLACE = "iblt-check", "iblt-place"
 #: A line is a paragraph; in a long one, sentences are joined to paragraphs of at least so many characters.
@@ -48,23 +52,26 @@ def _check(digest: Column) -> Column:
 def _entries(digest_array: Column) -> Column:
     """Per digest: its check sum, its three cells in a block, and the number that decides the block."""
     def entry(d: Column, g: Column) -> Column:
-        return F.struct(
-            d.alias("d"), _check(d).alias("h"), *_cells(g), F.shiftright(g, 9).alias("b"),
-        )
+        return F.struct(d.alias("d"), _check(d).alias("h"), _cells(g).alias("m"), F.shiftright(g, 9).alias("b"))
 
     return F.transform(digest_array, lambda d: _let(F.xxhash64(d, F.lit(_PLACE)), lambda g: entry(d, g)))
 
 
-def _cells(g: Column) -> list[Column]:
-    return [
-        (g.bitwiseAND(F.lit(7)) + F.lit(0)).cast("int").alias("p0"),
-        (F.shiftright(g, 3).bitwiseAND(F.lit(7)) + F.lit(PART)).cast("int").alias("p1"),
-        (F.shiftright(g, 6).bitwiseAND(F.lit(7)) + F.lit(2 * PART)).cast("int").alias("p2"),
+#: Each cell of a block has a bit; these are the bits of a part, one row for each of the three.
+_BITS = [[1 << (PART * part + i) for i in range(PART)] for part in range(CELLS // PART)]
+
+
+def _cells(g: Column) -> Column:
+    """The bits of the three cells that a place number decides on, one in each part."""
+    bits = [
+        F.element_at(F.lit(part), (F.shiftright(g, 3 * i).bitwiseAND(F.lit(PART - 1)) + F.lit(1)).cast("int"))
+        for i, part in enumerate(_BITS)
     ]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
-def _in_cell(entry: Column, i: Column) -> Column:
-    return (entry["p0"] == i) | (entry["p1"] == i) | (entry["p2"] == i)
+def _in_cell(entry: Column, bit: Column) -> Column:
+    return entry["m"].bitwiseAND(bit) != 0
 
 
 def _cell(n: Column, k: Column, h: Column) -> Column:
@@ -76,10 +83,11 @@ def table(digest_array: Column, blocks: int) -> Column:
     zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
     def block(held: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(
+        return F.transform(F.lit(sum(_BITS, [])), lambda bit: F.aggregate(
             held, zero,
-            lambda c, e: F.when(_in_cell(e, i), _cell(c["n"] + 1, c["k"].bitwiseXOR(e["d"]), c["h"].bitwiseXOR(e["h"])))
-            .otherwise(c),
+            lambda c, e: F.when(
+                _in_cell(e, bit), _cell(c["n"] + 1, c["k"].bitwiseXOR(e["d"]), c["h"].bitwiseXOR(e["h"]))
+            ).otherwise(c),
         ))
 
     entries = _entries(digest_array)
@@ -105,7 +113,9 @@ def _peel_block(cells: Column) -> Column:
     Only cells that hold something are kept from round to round.
     """
     def placed(c: Column, i: Column) -> Column:
-        return F.struct(i.alias("i"), c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"))
+        return F.struct(
+            F.element_at(F.lit(sum(_BITS, [])), i + 1).alias("m"), c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"),
+        )
 
     def holds(c: Column) -> Column:
         return (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)
@@ -117,14 +127,14 @@ def _peel_block(cells: Column) -> Column:
         pure = F.filter(state["cells"], is_pure)
         return F.array_distinct(F.transform(pure, lambda c: _let(
             F.xxhash64(c["k"], F.lit(_PLACE)),
-            lambda g: F.struct(c["k"].alias("d"), c["h"].alias("h"), c["n"].alias("n"), *_cells(g)),
+            lambda g: F.struct(c["k"].alias("d"), c["h"].alias("h"), c["n"].alias("n"), _cells(g).alias("m")),
         )))
 
     def without(state: Column, keys: Column) -> Column:
         left = F.transform(state["cells"], lambda c: F.aggregate(
             keys, c,
-            lambda held, e: F.when(_in_cell(e, held["i"]), F.struct(
-                held["i"].alias("i"), (held["n"] - e["n"]).alias("n"),
+            lambda held, e: F.when(_in_cell(e, held["m"]), F.struct(
+                held["m"].alias("m"), (held["n"] - e["n"]).alias("n"),
                 held["k"].bitwiseXOR(e["d"]).alias("k"), held["h"].bitwiseXOR(e["h"]).alias("h"),
             )).otherwise(held),
         ))
@@ -145,8 +155,10 @@ def _peel_block(cells: Column) -> Column:
 
 def peel(difference: Column) -> Column:
     """``array<struct<d, n>>``: the digests that differ, with 1 or -1 for the side; null where it gets stuck."""
-    peeled = F.transform(difference, _peel_block)
-    return F.when(F.forall(peeled, lambda p: p.isNotNull()), F.flatten(peeled))
+    return _let(
+        F.transform(difference, _peel_block),
+        lambda peeled: F.when(F.forall(peeled, lambda p: p.isNotNull()), F.flatten(peeled)),
+    )
 
 
 def differing(one: Column, other: Column, one_table: Column, other_table: Column) -> Column:
@@ -183,8 +195,12 @@ def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
 _BUCKET_BITS, _GROUP_BITS = 6, 12
 
 
-def with_next(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, column, next``: the column of the row with the next smaller key; after the smallest, the largest's.
+def with_next(df: DataFrame, key: str, column: str, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``key, column, next, bucket, place``: ``next`` is the column of the row with the next smaller key; after the
+    smallest, the largest's. ``bucket, place`` names a row, and rows are partitioned by ``bucket``.
+
+    What ``made`` adds to a frame with ``value``, the column, comes along, as its own column
+    and as ``next_`` for the next row.
 
     Rows are ordered within buckets of neighbouring keys. A bucket also gets the row that
     precedes it, found by chaining the buckets' largest keys: those of all groups of
@@ -208,8 +224,52 @@ def with_next(df: DataFrame, key: str, column: str) -> DataFrame:
     )
     ordered = Window.partitionBy("bucket").orderBy(F.desc("is_guest"), "key", F.xxhash64("value"))
     together = rows.withColumn("is_guest", F.lit(False)).select("key", "value", "bucket", "is_guest").union(visiting)
-    return together.withColumn("next", F.lag("value").over(ordered)).filter("not is_guest").select(
-        F.col("key").alias(key), F.col("value").alias(column), "next"
+    ready = made(together.repartition("bucket")) if made else together
+    added = [c for c in ready.columns if c not in together.columns]
+    return ready.select(
+        "*", F.lag("value").over(ordered).alias("next"), F.row_number().over(ordered).alias("place"),
+        *[F.lag(c).over(ordered).alias(f"next_{c}") for c in added],
+    ).filter("not is_guest").select(
+        F.col("key").alias(key), F.col("value").alias(column), "next", "bucket", "place",
+        *added, *[f"next_{c}" for c in added],
+    )
+
+
+def _larger_tables(tried: DataFrame, row: list[str], gaps: dict[str, str], kept: list[str]) -> DataFrame:
+    """``row, kept`` and the number of differing digests of each comparison, by larger tables where that is null.
+
+    ``gaps`` names the number of a comparison and the digests that ``own`` is compared with.
+    Digests are dealt to blocks, each with its cells; the rest of a row travels in one element.
+    """
+    main = F.struct(*[F.col(c) for c in [*kept, *gaps]])
+    element = "struct<what:int,block:bigint,d:bigint,sign:int>"
+
+    def signed(what: int, number: str, other: str) -> Column:
+        blocks = F.ceil((F.size("own") + F.size(other)) / BLOCK_DIGESTS).cast("long")
+        one = lambda sign: lambda d: F.struct(
+            F.lit(what).alias("what"), F.pmod(F.xxhash64(d, F.lit("iblt-block")), blocks).alias("block"),
+            d.alias("d"), F.lit(sign).alias("sign"),
+        )
+        both = F.concat(F.transform("own", one(1)), F.transform(other, one(-1)))
+        return F.when(F.col(number).isNull(), both).otherwise(F.array().cast(f"array<{element}>"))
+
+    head = F.array(F.lit(None).cast(element))
+    dealt = tried.select(*row, main.alias("main"), F.posexplode(F.concat(
+        head, *[signed(i, number, other) for i, (number, other) in enumerate(gaps.items())]
+    )).alias("at", "e")).select(*row, F.when(F.col("at") == 0, F.col("main")).alias("main"), "e.*")
+    side = lambda sign: F.collect_list(F.when(F.col("sign") == sign, F.col("d")))
+    blocks = dealt.groupBy(*row, "what", "block").agg(
+        F.first("main", ignorenulls=True).alias("main"), side(1).alias("one"), side(-1).alias("other")
+    )
+    peeled = compute_once(blocks, {"gap": F.size(differing(
+        F.col("one"), F.col("other"), table(F.col("one"), 1), table(F.col("other"), 1)
+    ))})
+    summed = peeled.groupBy(*row).agg(
+        F.first("main", ignorenulls=True).alias("main"),
+        *[F.sum(F.when(F.col("what") == i, F.col("gap"))).cast("int").alias(f"sum_{c}") for i, c in enumerate(gaps)],
+    )
+    return summed.select(
+        *row, *[f"main.{c}" for c in kept], *[F.coalesce(f"main.{c}", f"sum_{c}").alias(c) for c in gaps]
     )
 
 
@@ -223,24 +283,32 @@ def compare_versions(df: DataFrame, *, key: str = "doc_id", text: str = "text")
     without a key have no place in the order and are left out; equal keys follow each other
     by content. A single row is its own next.
     """
-    rows = with_next(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")), key, "text")
+    def made(frame: DataFrame) -> DataFrame:
+        cut = compute_once(frame, {"own": digests(F.col("value"))})
+        return compute_once(cut, {"cells": table(F.col("own"), BLOCKS[0])})
+
+    rows = with_next(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")), key, "text", made)
     n = F.char_length("text")
     kept = n - F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), kept), F.substring("next", F.lit(1), n - kept))
     read = compute_once(rows, {"edited": edited, "n_chars": n.cast("long")})
     cut = compute_once(read, {
-        "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256),
-        "own": digests(F.col("text")), "changed": digests(F.col("edited")), "other": digests(F.col("next")),
-    }).select(key, "n_chars", "edited_sha256", "own", "changed", "other")
-    tabled = compute_once(cut, {f"{c}_cells": table(F.col(c), BLOCKS[0]) for c in ("own", "changed", "other")})
-    peeled = compute_once(tabled, {
-        f"{c}_gap": F.size(differing(F.col("own"), F.col(c), F.col("own_cells"), F.col(f"{c}_cells")))
-        for c in ("changed", "other")
+        "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256), "changed": digests(F.col("edited")),
+    }).drop("text", "next", "edited")
+    tabled = compute_once(cut, {"changed_cells": table(F.col("changed"), BLOCKS[0])})
+    tried = compute_once(tabled, {
+        "fingerprint": as_text(F.col("cells")), "edited_fingerprint": as_text(F.col("changed_cells")),
+        "n_own": F.size("own"), "n_changed": F.size("changed"), "n_next": F.size("next_own"),
+        "edited_gap": F.size(peel(subtract(F.col("cells"), F.col("changed_cells")))),
+        "next_gap": F.size(peel(subtract(F.col("cells"), F.col("next_cells")))),
     })
+    peeled = _larger_tables(
+        tried, ["bucket", "place"], {"edited_gap": "changed", "next_gap": "next_own"},
+        [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "n_own", "n_changed", "n_next"],
+    )
     return peeled.select(
-        key, "n_chars", "edited_sha256",
-        as_text(F.col("own_cells")).alias("fingerprint"), as_text(F.col("changed_cells")).alias("edited_fingerprint"),
-        likeness(F.size("own"), F.size("changed"), F.col("changed_gap")).alias("near_edited"),
-        likeness(F.size("own"), F.size("other"), F.col("other_gap")).alias("near_next"),
-        F.col("changed_gap").alias("n_differing"),
+        key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("n_own"), F.col("n_changed"), F.col("edited_gap")).alias("near_edited"),
+        likeness(F.col("n_own"), F.col("n_next"), F.col("next_gap")).alias("near_next"),
+        F.col("edited_gap").alias("n_differing"),
     )
