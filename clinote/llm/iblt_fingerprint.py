@@ -215,23 +215,33 @@ def with_next(df: DataFrame, key: str, column: str, made: Callable[[DataFrame],
         F.max("top").over(Window.partitionBy()),
     ).alias("before_group"))
     before = F.coalesce(F.lag("top").over(Window.partitionBy("group").orderBy("bucket")), F.col("before_group"))
-    guests = tops.join(chained, "group").select(F.col("bucket").alias("to"), before.alias("key"))
+    guests = tops.join(chained, "group").select(F.col("bucket").alias("to"), before.alias("top"))
+    guests = guests.withColumn("from", F.shiftright("top", _BUCKET_BITS))
+    # Text is shuffled once, for both branches; of it, only the largest key of each bucket goes on to the next.
+    # (Stated for both, as the join would add it to its own branch and keep the shuffle from being shared.)
+    dealt = rows.filter(F.col("bucket").isNotNull()).repartition("bucket")
+    # The guest is the largest key of its bucket, so ">=" finds it and the join stays on the bucket alone.
     # Equal keys are ordered by content; of those, the last is the one that precedes another bucket.
     visiting = (
-        rows.join(guests, "key").groupBy("to", "key")
+        dealt.join(guests, (F.col("bucket") == F.col("from")) & (F.col("key") >= F.col("top"))).groupBy("to")
         .agg(F.max_by("value", F.xxhash64("value")).alias("value"))
-        .select("key", "value", F.col("to").alias("bucket"), F.lit(True).alias("is_guest"))
     )
-    ordered = Window.partitionBy("bucket").orderBy(F.desc("is_guest"), "key", F.xxhash64("value"))
-    together = rows.withColumn("is_guest", F.lit(False)).select("key", "value", "bucket", "is_guest").union(visiting)
-    ready = made(together.repartition("bucket")) if made else together
-    added = [c for c in ready.columns if c not in together.columns]
-    return ready.select(
-        "*", F.lag("value").over(ordered).alias("next"), F.row_number().over(ordered).alias("place"),
-        *[F.lag(c).over(ordered).alias(f"next_{c}") for c in added],
-    ).filter("not is_guest").select(
-        F.col("key").alias(key), F.col("value").alias(column), "next", "bucket", "place",
-        *added, *[f"next_{c}" for c in added],
+    ready = made(dealt) if made else dealt
+    guest = made(visiting) if made else visiting
+    added = [c for c in ready.columns if c not in dealt.columns]
+    ordered = Window.partitionBy("bucket").orderBy("key", F.xxhash64("value"))
+    inside = ready.select(
+        "*", F.row_number().over(ordered).alias("place"),
+        *[F.lag(c).over(ordered).alias(f"next_{c}") for c in ["value", *added]],
+    )
+    met = inside.join(guest.select("to", *[F.col(c).alias(f"guest_{c}") for c in ["value", *added]]),
+                      F.col("bucket") == F.col("to"), "left")
+    following = {
+        c: F.when(F.col("place") == 1, F.col(f"guest_{c}")).otherwise(F.col(f"next_{c}")) for c in ["value", *added]
+    }
+    return met.select(
+        F.col("key").alias(key), F.col("value").alias(column), following["value"].alias("next"), "bucket", "place",
+        *added, *[following[c].alias(f"next_{c}") for c in added],
     )
 
 
