@@ -192,6 +192,41 @@ def test_templates(spark, rows, held):
     assert template_decontamination.find(documents, items.limit(0)).count() == 0
 
 
+EDITED = [
+    (1, ITEM.replace("gives 7", "then gives 7"), True),
+    (2, ITEM.replace("of them", "them"), True),
+    (4, ITEM.replace("Ann", "Mary Lou").replace("Joe", "Old Mr Smith"), True),
+    (5, "Mary " + ITEM.replace("40", "1,2,3").replace("7", "10,20,30").replace("lb", "kg").replace("Joe", "Jim Doe"), True),
+    (6, ITEM.replace("before Ann", "before Bob"), False),
+    (7, " ".join(ITEM.split()[8:] + ITEM.split()[:8]), True),
+    (8, "Ann has 40 apples and gives " + "word " * 60 + "walks 9 km to the old market", False),
+    (9, " ".join(ITEM.replace("40", str(k)).replace("Ann", name) for k, name in enumerate(["Jo", "Al", "Cy"])), True),
+]
+
+
+def test_edited_items_are_found(spark, rows):
+    """Inserted, removed and changed words, longer names and numbers; contradictions and far parts are none."""
+    documents = spark.createDataFrame([(k, f"so it goes {t} and on") for k, t, _ in EDITED], "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    for held in (template_decontamination.MAX_HELD_HASHES, 0):
+        found = template_decontamination.find(documents, items, max_held_hashes=held)
+        assert rows(found, "doc_id") == [(k,) for k, _, hit in EDITED if hit]
+
+
+def test_a_word_more_or_less_in_every_item(spark):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()]
+    edited = []
+    for k, text in items:
+        words_of = text.split()
+        middle = len(words_of) // 2
+        edited += [(k, " ".join(words_of[:middle] + more + words_of[rest:])) for more, rest in (
+            (["zzz"], middle), ([], middle + 1), (["zzz"], middle + 1))]
+    documents = spark.createDataFrame([(3 * k + n % 3, t) for n, (k, t) in enumerate(edited)], "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in template_decontamination.find(documents, frame).collect()}
+    assert found == {(3 * k + n, k) for k, _ in items for n in range(3)}
+
+
 def test_short_items_are_found_whole(spark, rows):
     documents = spark.createDataFrame([(1, "see only five words in here now"), (2, "only five words")], "doc_id long, text string")
     items = spark.createDataFrame([(8, "only five words in here")], "item_id long, text string")
