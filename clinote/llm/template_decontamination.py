@@ -2,7 +2,7 @@
 
 Numbers, names (capitalised words) and units behind numbers become typed placeholders, so
 a question with other numbers and names keeps its template. Windows of template words are
-hash-joined with those of the benchmark. The matches of a document and an item that lie
+hash-joined with those of the benchmark, windows of mostly placeholders by their values. The matches of a document and an item that lie
 on one alignment must fill the placeholders consistently: what stands for one value of the
 item is one value in the document. Alignments close to each other count together, as words
 may be inserted or removed. Chance matches of templates fail this; verbatim copies,
@@ -34,6 +34,7 @@ UNITS = (
     "kb mb gb tb w kw mw v a hz khz mhz ghz j kj cal kcal n pa kpa bar mol"
 ).split()
 _SLICE_BYTES = 2 << 20
+_EXACT = np.uint64(0x5851F42D4C957F2D)
 _KINDS = mix(np.array([11, 12, 13], dtype=np.uint64))  # number, name, unit
 
 
@@ -88,19 +89,25 @@ def window_size(n_words: int, window: int) -> int:
 
 
 def windows(
-    template: np.ndarray, is_slot: np.ndarray, counts: np.ndarray, sizes: list[int], form: int
+    template: np.ndarray, value: np.ndarray, is_slot: np.ndarray, counts: np.ndarray, sizes: list[int], form: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per size: hash, first word and text of the windows, and whether over half the words are placeholders."""
+    """Per size: hash, first word and text of the windows, and whether over half the words are placeholders.
+
+    The hash of those is that of their values, so that only equal words meet them.
+    """
     owner = np.repeat(np.arange(len(counts)), counts)
     slots = np.concatenate([[0], np.cumsum(is_slot)])
-    hashes, weight = np.zeros(len(template), dtype=np.uint64), weights(max(sizes, default=1))
+    hashes, exact = np.zeros(len(template), dtype=np.uint64), np.zeros(len(template), dtype=np.uint64)
+    weight = weights(max(sizes, default=1))
     for size in range(1, min(max(sizes, default=0), len(template)) + 1):
         n = len(template) - size + 1
         hashes = hashes[:n] + template[size - 1:] * weight[size - 1]
+        exact = exact[:n] + value[size - 1:] * weight[size - 1]
         if size in sizes:
             first = np.flatnonzero(owner[:n] == owner[size - 1:])
             slotted = 2 * (slots[first + size] - slots[first]) > size
-            yield size, mix(hashes[first], 2 * size + form), first, owner[first], slotted
+            chosen = np.where(slotted, exact[first] + _EXACT, hashes[first])
+            yield size, mix(chosen, 2 * size + form), first, owner[first], slotted
 
 
 class _Held:
@@ -126,7 +133,7 @@ def _emit(
         starts = np.cumsum(counts) - counts
         literal = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[is_slot], minlength=len(counts))
         whole = (counts == words[3]) | (literal >= MIN_LITERAL)
-        for size, hashes, first, owner, slotted in windows(template, is_slot, counts, sizes[form], form):
+        for size, hashes, first, owner, slotted in windows(template, value, is_slot, counts, sizes[form], form):
             if held is not None:
                 hit = held.places(hashes)
             elif window is not None:  # of items
@@ -134,7 +141,6 @@ def _emit(
                 hit = np.flatnonzero((wanted & ((counts >= window) | whole))[owner])
             else:
                 hit = np.arange(len(first))
-            hit = hit[~slotted[hit]] if window is None else hit
             hashes, first, owner, slotted = hashes[hit], first[hit], owner[hit], slotted[hit]
             filled = [value[a:a + size][is_slot[a:a + size]].view(np.int64) for a in first]
             n, at = len(first), first - starts[owner]
@@ -202,8 +208,8 @@ def find(
     other do not count. It is the larger of two shares: over words, and with each run of names
     or numbers as one placeholder, so that names may have more or fewer words. ``same_values``
     tells that the placeholders hold the item's values. An item of fewer than ``window`` words
-    is one window. Windows that are mostly placeholders count where windows found on the same
-    alignment cover their words; an item without any other cannot be found. Rows without key, item or text give nothing; repeated rows count
+    is one window. Windows that are mostly placeholders are found with the item's own values, or
+    where windows found on the same alignment cover their words. Rows without key, item or text give nothing; repeated rows count
     once; further columns are left out.
     """
     items = benchmark.select(F.col(item).alias("key"), F.col(item_text).alias("text"))
@@ -212,8 +218,7 @@ def find(
     counted = counted.drop("run_first", "run_last").dropDuplicates(["hash", "item", "at"])
     found_sizes = counted.select("form", "size").distinct().collect()  # at most two times ``window`` rows
     sizes = [sorted(r["size"] for r in found_sizes if r["form"] == form) for form in (0, 1)]
-    joined = counted.filter(~F.col("slotted"))
-    distinct = joined.select("hash").distinct()
+    distinct = counted.select("hash").distinct()
     sample = distinct.limit(max_held_hashes + 1)
     n = sample.count()
     held = None
@@ -228,7 +233,7 @@ def find(
         F.count_distinct("at").alias("total"), (F.max("at") + F.max("size")).alias("reach"),
         F.max("size").alias("size"), F.collect_set(F.when(F.col("slotted"), F.col("at"))).alias("slotted"),
     )
-    matched = of_documents.join(joined, "hash")
+    matched = of_documents.join(counted, "hash")
     # At the ends of an item a run of the document may be longer than what stands for the item's, and says nothing.
     slots = F.arrays_zip(F.col("filled").alias("wanted"), F.col("doc_filled").alias("found"))
     skipped = F.when(F.col("slot_first") & F.col("run_first"), 1).otherwise(0)

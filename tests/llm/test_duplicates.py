@@ -213,6 +213,17 @@ def test_edited_items_are_found(spark, rows):
         assert rows(found, "doc_id") == [(k,) for k, _, hit in EDITED if hit]
 
 
+def test_items_of_placeholders_are_found_with_their_values(spark, rows):
+    of_slots = ["What is 345 + 678 + 12 - 7?", "Paris London Rome Berlin Madrid", "1 2 3 4 5 6 7 8 9 10 11 12", "The Old Man And The Sea"]
+    documents = [(k, f"Yes {t} Good 5 more") for k, t in enumerate(of_slots)]
+    documents += [(4, "What is 34 + 67 + 1 - 8? Oslo Wien Bern Kiev Riga. 9 8 7 6 5 4 3 2 1 0 1 2 3 4 The New Car"), (5, ITEM.replace("them", "those"))]
+    frame = spark.createDataFrame(documents, "doc_id long, text string")
+    items = spark.createDataFrame([*enumerate(of_slots), (5, ITEM)], "item_id long, text string")
+    for held in (template_decontamination.MAX_HELD_HASHES, 0):
+        found = template_decontamination.find(frame, items, max_held_hashes=held)
+        assert rows(found, "doc_id", "item_id", "same_values") == [(k, k, True) for k in (0, 1, 2, 3, 5)]
+
+
 def test_a_word_more_or_less_in_every_item(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()]
     edited = []
