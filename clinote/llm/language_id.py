@@ -183,8 +183,29 @@ def predict(
     return map_batches(df.select(key, df[text].alias("text")), run, schema)
 
 
+def rejection_lead(
+    labelled: DataFrame, model: Model | None, *, text: str = "text", label: str = "lang", share: float = 0.001,
+    at_most: float = 0.5,
+) -> float:
+    """The lead under which ``share`` of the labelled texts with letters lie, ``at_most`` at most; 0 without any."""
+    if model is None:
+        return 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", _SLICE_BYTES, _SLICE_ROWS):
+            vectors, has_letters = features(batch.column(0), len(model.weights))
+            _, _, lead = decode(model, vectors @ model.weights + model.bias)
+            yield pa.RecordBatch.from_arrays([pa.array(lead[has_letters].astype(np.float64))], names=["lead"])
+
+    rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    lowest = map_batches(rows, run, "lead double").agg(F.percentile_approx("lead", share, 10_000)).first()[0]
+    return 0.0 if lowest is None else min(lowest, at_most)
+
+
 def keep_determined(df: DataFrame, model: Model | None, *, text: str = "text", min_lead: float = 0.1) -> DataFrame:
-    """The rows, with all their columns, whose language is determined and not ambiguous."""
+    """The rows, with all their columns, whose language is determined and not ambiguous; without a model all."""
+    if model is None:
+        return df
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """The training-data pipeline: four operators, one after the other, on the documents.
 
-1. ``language_id``: error-correcting output codes; texts without a language (null or without a letter) go.
+1. ``language_id``: error-correcting output codes; texts without a language (null, without a letter, or with a
+   smaller lead than all but a thousandth of the labelled ones, 0.5 at most) go. Without labels all stay.
 2. ``jaccard_join``: of the documents that links of word-shingle similarity connect, the one with the
    smallest ``doc_id`` stays.
 3. ``decontamination``: documents that hold a benchmark item, also with other numbers or
@@ -28,9 +29,10 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.train(docs.filter(~language_id.is_held_out()))
-    # Doubt between two languages is no reason to lose a clean document.
-    return language_id.keep_determined(docs, model, min_lead=0.0)
+    known = docs.filter(~language_id.is_held_out())
+    model = language_id.train(known)
+    # Clean documents lead clearly; below that lead, a text is noise or mixed.
+    return language_id.keep_determined(docs, model, min_lead=language_id.rejection_lead(known, model))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,6 +142,15 @@ def test_language_of_odd_rows(spark):
 
 # Pipeline
 
+def test_language_stage_rejects_noise_but_keeps_all_without_labels(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    extra = spark.createDataFrame([(10**6, "kjh", None, "s", 3), (10**6 + 1, "xkcd wqrt zpfg vbnm", None, "s", 19)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.union(extra), SF_DIR)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} & {10**6, 10**6 + 1} == {10**6 + 1}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, unlabelled, SF_DIR).count() == docs.count()
+
+
 def test_stages_do_what_they_say(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "12 !!", "en", "s", 5)], docs.schema)
