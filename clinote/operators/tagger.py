@@ -50,18 +50,26 @@ def _starts(pieces: Column) -> Column:
     """0-based start of each piece when the pieces are laid end to end.
 
     Summed in blocks, then within them: appending to one array for all pieces would take
-    the square of their number.
+    the square of their number. The lengths are bound once, as each block reads them.
     """
     lengths = F.transform(pieces, lambda piece: F.length(piece))
-    n_blocks = F.greatest(F.ceil(F.size(pieces) / _SUM_BLOCK).cast("int"), F.lit(1))
+    return F.element_at(F.transform(F.array(lengths), _block_starts), 1)
+
+
+def _block_starts(lengths: Column) -> Column:
+    n_blocks = F.greatest(F.ceil(F.size(lengths) / _SUM_BLOCK).cast("int"), F.lit(1))
     blocks = F.transform(
         F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lengths, b * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK))
     )
-    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda x, y: x + y))
-    firsts = F.slice(_running(sums, F.lit(0)), F.lit(1), n_blocks)
-    return F.flatten(F.zip_with(
-        blocks, firsts, lambda block, first: F.slice(_running(block, first), F.lit(1), F.size(block))
-    ))
+
+    def starts(bound: Column) -> Column:
+        sums = F.transform(bound, lambda block: F.aggregate(block, F.lit(0), lambda x, y: x + y))
+        firsts = F.slice(_running(sums, F.lit(0)), F.lit(1), F.size(bound))
+        return F.flatten(F.zip_with(
+            bound, firsts, lambda block, first: F.slice(_running(block, first), F.lit(1), F.size(block))
+        ))
+
+    return F.element_at(F.transform(F.array(blocks), starts), 1)
 
 
 def _chunks(notes: DataFrame) -> DataFrame:
