@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clinote.llm import (
-    bpe_automaton, iblt_fingerprint, jaccard_join, language_id, resharding, template_decontamination, token_archive,
-    token_counts, url_rules, warc_archive,
+    bpe_automaton, iblt_fingerprint, jaccard_join, language_id, resharding, source_audit, source_mixing,
+    template_decontamination, token_archive, token_counts, url_rules, vector_codes, warc_archive,
 )
 from clinote.session import scratch_path
 
@@ -96,6 +96,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language_id.is_held_out().alias("held_out"), "lang_pred", "score", "is_ambiguous")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = source_mixing.mix(_table(spark, sf_dir, "documents"))
+    return source_mixing.taken_words(made).withColumnRenamed("key", "doc_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_iblt_fingerprint": op1_iblt_fingerprint,
     "op2_min_cost_resharding": op2_min_cost_resharding,
@@ -107,6 +120,12 @@ QUERIES = {
     "op8_token_archive": op8_token_archive,
     "op9_url_rules": op9_url_rules,
     "op10_language_id": op10_language_id,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_audit": op13_source_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": vector_codes.sql(),
+    "op13_source_audit": source_audit.sql(),
+}
