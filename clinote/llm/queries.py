@@ -22,12 +22,16 @@ def op1_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 16 shards by the checksum of the id to 24 of equal bytes."""
-    placed = _table(spark, sf_dir, "documents").withColumn(
-        "old_shard", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 16
-    )
+    return _resharded(_table(spark, sf_dir, "documents"))
+
+
+def _resharded(documents: DataFrame) -> DataFrame:
+    placed = documents.withColumn("old_shard", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 16)
     plan = resharding.plan(placed, "old_shard", 24)
-    written = resharding.rewrite(placed, "old_shard", plan, scratch_path(spark, "resharded"))
-    return written.select(
+    rows = resharding.rewrite(placed, "old_shard", plan, scratch_path(documents.sparkSession, "resharded"))
+    if len(plan.affected()) < 24:
+        rows = rows.unionByName(resharding.untouched(placed, "old_shard", plan))
+    return rows.select(
         "doc_id",
         resharding.row_size().alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
@@ -126,6 +130,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc_archive": warc_archive.sql(),
     "op12_vector_codes": vector_codes.sql(),
     "op13_source_audit": source_audit.sql(),
 }

@@ -105,6 +105,11 @@ def row_size(text: str = "text", overhead: int = 8) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
 
 
+def _old(old: str) -> Column:
+    """Number of the old shard; rows without one are taken to lie in shard 0."""
+    return F.coalesce(F.col(old).cast("int"), F.lit(0))
+
+
 def _hash(key: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("reshard"), F.col(key)), F.lit(_HASHES))
 
@@ -154,10 +159,11 @@ def plan(
 
     A single number of shards means equal capacities. ``costs[old][new]`` is the price of a
     byte; by default 0 for a shard that stays and 1 otherwise, so the fewest bytes move.
-    Rows that share a key go together; rows without one are treated as one key. What reaches
+    Rows that share a key go together; rows without one are treated as one key, rows without an old shard
+    as rows of shard 0. What reaches
     the driver are sizes per shard, layer and block.
     """
-    rows = df.select(F.col(old).cast("int").alias("old"), _hash(key).alias("hash"), row_size(text).alias("size"))
+    rows = df.select(_old(old).alias("old"), _hash(key).alias("hash"), row_size(text).alias("size"))
     rows = store(df.sparkSession, rows.withColumns({"layer": _layer(), "block": _block()}), "row-sizes")
     sums: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
     for r in rows.groupBy("old", "layer", "block").agg(F.sum("size").alias("bytes")).collect():
@@ -225,40 +231,63 @@ def assign(df: DataFrame, old: str, made: Plan, *, key: str = "doc_id", text: st
     marked = df.withColumns({"hash": _hash(key), "size": row_size(text)}).withColumns({"layer": _layer(), "block": _block()})
     # A few numbers per old shard and layer: the bound is the number of shards.
     joined = marked.join(
-        F.broadcast(table), (F.col(old).cast("int") == F.col("__old")) & (F.col("layer") == F.col("__layer"))
+        F.broadcast(table), (_old(old) == F.col("__old")) & (F.col("layer") == F.col("__layer"))
     )
     passed = F.size(F.filter("ends", lambda end: end <= F.col("hash")))
     return joined.withColumn("shard", F.get("news", passed)).drop("__old", "__layer", "ends", "news")
 
 
-def rewrite(
-    df: DataFrame, old: str, made: Plan, path: str, *, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Write the affected shards to ``path`` (a folder ``shard=n`` each) and return the written table.
-
-    Columns: ``key, text, old, shard, slot``; slots are gapless from 0 within a shard. Rows of
-    shards that neither give nor take are not touched. Hash ranges cut a shard into parts of
-    about ``PART_BYTES`` that are written side by side, so no shard passes through one task.
-    """
-    rows = df.select(F.col(key).alias(key), F.col(text).alias("text"), F.col(old).cast("int").alias("old"))
-    placed = assign(rows, "old", made, key=key).filter(F.col("shard").isin(made.affected()))
-    spark = df.sparkSession
-    group = ["shard", "part", "old", "layer"]
+def _parts(made: Plan) -> int:
+    """Hash ranges that a new shard is cut into, of about ``PART_BYTES`` each."""
     news = len({new for _, new in made.flow}) or 1
     parts = -(-sum(made.flow.values()) // (news * PART_BYTES))
-    parts = max(16, min(parts, MAX_GROUPS // (news * max(1, len(made.ranges)))))
-    part = F.floor(F.col("hash") / (_HASHES // parts)).cast("int")
-    counted = placed.withColumn("part", part).groupBy(*group).agg(F.count("*").alias("n"))
+    return max(16, min(parts, MAX_GROUPS // (news * max(1, len(made.ranges)))))
+
+
+def _numbered(placed: DataFrame, key: str, parts: int, shards: int) -> DataFrame:
+    """``key, text, old, slot, shard`` with slots that are gapless from 0 within a shard."""
+    group = ["shard", "part", "old", "layer"]
+    cut = placed.withColumn("part", F.floor(F.col("hash") / (_HASHES // parts)).cast("int"))
+    counted = cut.groupBy(*group).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part", "old", "layer").rowsBetween(Window.unboundedPreceding, -1)
     # At most MAX_GROUPS rows, whatever the data.
     firsts = counted.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy(*group).orderBy("hash", key)
-    numbered = (
-        placed.withColumn("part", part).repartition("shard", "part")
-        .withColumn("row", F.row_number().over(inside) - 1)
+    # Twice as many partitions as ranges, so that few ranges meet in one.
+    dealt = cut.repartition(min(2 * parts * max(1, shards), MAX_GROUPS), "shard", "part")
+    return (
+        dealt.withColumn("row", F.row_number().over(inside) - 1)
         .join(F.broadcast(firsts), group)
         .select(key, "text", "old", (F.col("first") + F.col("row")).alias("slot"), "shard")
     )
-    numbered.write.partitionBy("shard").parquet(path)
+
+
+def _shards_and_rows(df: DataFrame, old: str, made: Plan, key: str, text: str) -> DataFrame:
+    rows = df.select(F.col(key).alias(key), F.col(text).alias("text"), _old(old).alias("old"))
+    return assign(rows, "old", made, key=key)
+
+
+def rewrite(
+    df: DataFrame, old: str, made: Plan, path: str, *, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Write the affected shards to ``path`` (a folder ``shard=n`` each) and return the written table.
+
+    Columns: ``key, text, old, shard, slot``; slots are gapless from 0 within a shard. Rows of
+    shards that neither give nor take are not touched (``untouched`` has them). Hash ranges cut a shard into parts of
+    about ``PART_BYTES`` that are written side by side, so no shard passes through one task.
+    """
+    affected = made.affected()
+    placed = _shards_and_rows(df, old, made, key, text).filter(F.col("shard").isin(affected))
+    _numbered(placed, key, _parts(made), len(affected)).write.partitionBy("shard").parquet(path)
     kind = dict(df.dtypes)[key]
-    return spark.read.schema(f"`{key}` {kind}, text string, old int, slot long, shard int").parquet(path)
+    return df.sparkSession.read.schema(f"`{key}` {kind}, text string, old int, slot long, shard int").parquet(path)
+
+
+def untouched(df: DataFrame, old: str, made: Plan, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of the shards that neither give nor take, as ``rewrite`` gives those of the others.
+
+    With ``rewrite``'s rows they are all rows of ``df``. Their shards keep their files; slots are numbered as there.
+    """
+    kept = sorted({new for _, new in made.flow} - set(made.affected()))
+    placed = _shards_and_rows(df, old, made, key, text).filter(F.col("shard").isin(kept))
+    return _numbered(placed, key, _parts(made), len(kept))

@@ -14,7 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clinote.llm.workers import map_batches
 from clinote.session import store
@@ -83,6 +83,14 @@ def _records(record_id: str, url: str, refers_to: str | None, payload: bytes, se
         yield _record(fields, part)
 
 
+def _one_line(url: Column) -> Column:
+    """The URL as a header value: what would end its line or be trimmed off is a percent code."""
+    marks = F.split(url, "")
+    coded = F.transform(marks, lambda c: F.when(
+        c.rlike(r"[\x00-\x20\x7F]"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]|^ | $"), F.array_join(coded, "")).otherwise(url)
+
+
 def write(
     pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html",
     min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES,
@@ -91,19 +99,32 @@ def write(
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` bytes, the one with the
     smallest key is a response and the others are revisits of it. A null payload is empty
-    and a null URL is written as ``-``. Rows without a key are left out; rows that share key
-    and payload are one record. Equal payloads are found on digests, combined before the shuffle.
+    and a null URL is written as ``-``; control characters in a URL, and blanks at its ends, are written as
+    percent codes. Rows without a key are left out; rows that share key
+    and payload are one record, with the smallest URL. Equal payloads and repeated rows are found on digests, combined
+    before the shuffle; payloads are shuffled for repeated rows alone.
     """
     rows = pages.select(
-        F.col(key).cast("long").alias("key"), F.coalesce(F.col(url), F.lit("-")).alias("url"),
+        F.col(key).cast("long").alias("key"), F.coalesce(_one_line(F.col(url)), F.lit("-")).alias("url"),
         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"),
     ).filter(F.col("key").isNotNull())
-    hashed = rows.select("key", F.sha1("payload").alias("sha1"), F.length("payload").alias("bytes"))
-    firsts = hashed.filter(F.col("bytes") >= min_revisit_bytes).groupBy("sha1").agg(F.min("key").alias("first"))
+    hashed = rows.groupBy("key", F.sha1("payload").alias("sha1"), F.length("payload").alias("bytes")).agg(
+        F.count("*").alias("copies")
+    )
+    firsts = hashed.groupBy("sha1").agg(F.min("key").alias("first"))
+    is_revisit = (F.col("bytes") >= min_revisit_bytes) & (F.col("key") != F.col("first"))
     # Stored, so that the planner knows its size and moves the payloads only where revisits are many.
-    revisits = hashed.join(firsts, "sha1").filter("key <> first").select("key", "sha1", "first").distinct()
-    revisits = store(pages.sparkSession, revisits, "revisits")
-    marked = rows.withColumn("sha1", F.sha1("payload")).join(revisits, ["key", "sha1"], "left")
+    noted = hashed.join(firsts, "sha1").filter(is_revisit | (F.col("copies") > 1)).select(
+        "key", "sha1", F.when(is_revisit, F.col("first")).alias("first"), "copies"
+    )
+    noted = store(pages.sparkSession, noted, "revisits")
+    marked = rows.withColumn("sha1", F.sha1("payload")).join(noted, ["key", "sha1"], "left")
+    if not noted.filter("copies > 1").isEmpty():
+        repeated = marked.filter("copies > 1").groupBy("key", "sha1").agg(
+            F.min("url").alias("url"), F.any_value("payload").alias("payload"), F.any_value("first").alias("first")
+        )
+        columns = ["key", "url", "sha1", "first", "payload"]
+        marked = marked.filter("copies is null or copies = 1").select(*columns).unionByName(repeated.select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +199,8 @@ def read(spark: SparkSession, path: str, *, keep_payload: bool = True) -> DataFr
     Columns: ``record_id, record_type`` (response or revisit), ``url, refers_to,
     stated_digest, is_complete, payload_bytes, payload_digest`` and, if kept, ``payload``. A
     record of which a segment is missing, given twice with other content or of the wrong
-    total length, or whose framing is cut short, is not complete and has no payload. The
+    total length, whose framing is cut short, or whose payload has another digest than stated, is not complete
+    and has no payload. The
     payload columns of a revisit are null.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -204,20 +226,24 @@ def read(spark: SparkSession, path: str, *, keep_payload: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for kind, data, is_whole in zip(*(batch.column(n).to_pylist() for n in ("record_type", "block", "is_whole"))):
-                payload = None
+            wanted = ("record_type", "block", "is_whole", "stated_digest")
+            for kind, data, is_whole, stated in zip(*(batch.column(n).to_pylist() for n in wanted)):
+                payload = digest = None
                 if is_whole and kind == "response":
                     try:
                         payload = _payload(data)
+                        digest = payload_digest(payload)
                     except ValueError:
                         is_whole = False
-                made.append((is_whole, payload))
-            payloads = [p for _, p in made]
+                    if digest is not None and stated is not None and digest != stated:
+                        payload, digest, is_whole = None, None, False
+                made.append((is_whole, payload, digest))
+            payloads = [p for _, p, _ in made]
             columns = [
                 *(batch.column(n) for n in ("record_id", "record_type", "url", "refers_to", "stated_digest")),
-                pa.array([w for w, _ in made], pa.bool_()),
+                pa.array([w for w, _, _ in made], pa.bool_()),
                 pa.array([None if p is None else len(p) for p in payloads], pa.int64()),
-                pa.array([None if p is None else payload_digest(p) for p in payloads], pa.string()),
+                pa.array([d for _, _, d in made], pa.string()),
                 *([pa.array(payloads, pa.binary())] if keep_payload else []),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
@@ -247,3 +273,23 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
         .join(targets, "target", "left")
     )
     return responses.unionByName(revisits.drop("target"))
+
+
+def sql(min_revisit_bytes: int = 0) -> str:
+    """The rows of ``pages`` after ``write`` over a table ``pages`` with unique keys, as SQL."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    # Five hex digits are four characters of base32.
+    quarter = ", ".join(f"substr('{alphabet}', (v >> {shift}) % 32 + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"""
+    with payload as (select page_id, encode(coalesce(html, '')) as body from pages where page_id is not null),
+    digest as (select page_id, octet_length(body) as n, sha1(body) as hex from payload),
+    bits as (select *, list_transform(range(8), lambda k: cast('0x' || substr(hex, 5 * k + 1, 5) as int)) as held from digest),
+    named as (
+        select page_id, n, array_to_string(list_transform(held, lambda v: concat({quarter})), '') as payload_digest,
+               min(page_id) over (partition by hex) as first
+        from bits
+    )
+    select page_id, n as payload_bytes, payload_digest,
+           case when n >= {min_revisit_bytes} and first <> page_id then 'revisit' else 'response' end as record_type,
+           case when n >= {min_revisit_bytes} and first <> page_id then first end as refers_to
+    from named"""

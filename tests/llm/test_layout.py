@@ -6,6 +6,7 @@ import itertools
 import random
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,15 +76,46 @@ def test_shards_that_keep_their_rows_are_not_written(spark):
     assert {r["shard"] for r in out.select("shard").distinct().collect()} == {0, 4}
 
 
+def whole(spark, df, plan, **options):
+    """Written and untouched rows: together all rows."""
+    out = resharding.rewrite(df, "old", plan, scratch_path(spark, "shards"), **options)
+    return out.unionByName(resharding.untouched(df, "old", plan, **options))
+
+
+def test_untouched_shards_complete_the_rows(spark):
+    df, made = placed(spark, 400)
+    size = {i: len(t.encode()) + 8 for i, t, _ in made}
+    olds = {r["doc_id"]: r["old"] for r in df.collect()}
+    held = [sum(size[i] for i in size if olds[i] == k) for k in range(4)]
+    plan = resharding.plan(df, "old", [held[0] // 2, *held[1:], held[0]])
+    out = whole(spark, df, plan).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted((i, t) for i, t, _ in made)
+    for shard in range(5):
+        assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 24, 48])
+def test_op2_keeps_every_row(spark, n):
+    """Rows of equal size, where shards may already hold what they shall; null and repeated keys."""
+    rows = [(i, "same") for i in range(n)]
+    for more in ([], [(None, "x"), (None, None), (3, "same"), (3, "same")]):
+        df = spark.createDataFrame([(*r, 1, 2) for r in rows + more], "doc_id long, text string, old int, shard int")
+        out = queries._resharded(df).collect()
+        assert sorted([r["doc_id"] is not None, r["doc_id"] or 0, r["size"]] for r in out) == sorted(
+            [i is not None, i or 0, len((t or "").encode()) + 8] for i, t in rows + more)
+        for shard in range(24):
+            slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+            assert slots == list(range(len(slots)))
+
+
 def test_resharding_odd_rows(spark):
-    rows = [(1, None, 0), (None, "x", 0), (2, "y", 1), (2, "y", 1), (3, "", 1)]
+    rows = [(1, None, 0), (None, "x", None), (None, "x", 0), (2, "y", 1), (2, "y", 1), (3, "", 1), (4, "z", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, old int").withColumn("block", F.lit("clash"))
-    out = resharding.rewrite(df, "old", resharding.plan(df, "old", 3), scratch_path(spark, "shards"))
-    moved_or_not = resharding.assign(df, "old", resharding.plan(df.drop("block"), "old", 3))
-    assert moved_or_not.filter("shard is null").count() == 0
-    assert out.count() <= len(rows)
+    out = whole(spark, df, resharding.plan(df, "old", 3)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "", r["old"]) for r in out) == sorted(
+        (i or -1, t or "", old or 0) for i, t, old in rows)
     empty = df.limit(0)
-    assert resharding.rewrite(empty, "old", resharding.plan(empty, "old", 3), scratch_path(spark, "shards")).count() == 0
+    assert whole(spark, empty, resharding.plan(empty, "old", 3)).count() == 0
 
 
 def test_resharding_of_a_table(spark):
@@ -123,6 +155,43 @@ def test_archive_gives_back_the_pages(spark):
     assert warc_archive.pages(spark, small).filter("record_type = 'revisit'").count() == 0
 
 
+def test_repeated_pages_and_odd_urls(spark):
+    rows = [
+        (3, "http://a/x\r\n\r\nWARC/1.1", "small"), (3, "http://a/x\r\n\r\nWARC/1.1", "small"), (3, "http://a/x", "other"),
+        (1, " http://b/\t ", "one"), (1, " http://b/\t ", "one"), (1, "http://a", "one"), (5, "é", "one"), (6, "é", "small"),
+        (6, "é", "small"), (6, "z", "small"), (7, "", "one"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    path = scratch_path(spark, "warc")
+    warc_archive.write(pages, path)
+    found = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0)
+                   for r in warc_archive.pages(spark, path).collect())
+    assert found == [
+        (1, 3, "response", 0), (3, 5, "response", 0), (3, 5, "response", 0), (5, 3, "revisit", 1), (6, 5, "revisit", 3),
+        (7, 3, "revisit", 1),
+    ]
+    records = warc_archive.read(spark, path).collect()
+    assert len(records) == 6 and all(r["is_complete"] for r in records if r["record_type"] == "response")
+    urls = {(r["record_id"].split(":")[2], r["url"]) for r in records}
+    assert urls == {("3", "http://a/x%0D%0A%0D%0AWARC/1.1"), ("3", "http://a/x"), ("1", "%20http://b/%09%20"), ("5", "é"),
+                    ("6", "z"), ("7", "")}
+
+
+def test_a_payload_of_another_digest_is_not_complete(spark, tmp_path):
+    (record,) = warc_archive._records("urn:page:1:a", "u", None, b"payload", 10_000)
+    (tmp_path / "a.warc").write_bytes(record.replace(b"payload\r\n0", b"changed\r\n0") + b"\r\n\r\n")
+    (found,) = warc_archive.read(spark, str(tmp_path)).collect()
+    assert not found["is_complete"] and found["payload"] is None
+
+
+def test_op7_against_sql(spark):
+    with duckdb.connect() as db:
+        db.sql(f"create view pages as select * from '{SF_DIR}/pages.parquet'")
+        result = db.sql(queries.ORACLE_SQL["op7_warc_archive"])
+        columns, want = result.columns, sorted(result.fetchall())
+    assert sorted(tuple(r) for r in queries.op7_warc_archive(spark, SF_DIR).select(*columns).collect()) == want
+
+
 def test_missing_segments_are_told(spark, tmp_path):
     records = list(warc_archive._records("urn:page:1:a", "u", None, b"y" * 5000, 1000))
     records += list(warc_archive._records("urn:page:2:b", "u", None, b"z" * 5000, 1000))
