@@ -143,7 +143,7 @@ def _in_chunks(members: DataFrame, key: str, chunks: str) -> DataFrame:
 
 
 def _sketch(df: DataFrame, words: int) -> DataFrame:
-    """``id, n_bytes, n, d1, d2, sig``: shingles, digest of their set, signature; null where there are none."""
+    """``id, hash, n, d1, d2, sig`` of ``id, text, hash``: shingles, digest of their set, signature; null where there are none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE_BYTES):
             hashes, counts = shingles(batch.column(1), words)
@@ -156,13 +156,13 @@ def _sketch(df: DataFrame, words: int) -> DataFrame:
             rows = [next(place) if f else None for f in full.tolist()]
             digests = [s.view(np.int64).tolist() for s in sums]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts),
+                [batch.column(0), batch.column(2), pa.array(counts),
                  *[pa.array([None if r is None else d[r] for r in rows], pa.int64()) for d in digests],
                  pa.array([None if r is None else made[r].tobytes() for r in rows], pa.binary())],
-                names=["id", "n", "d1", "d2", "sig"],
+                names=["id", "hash", "n", "d1", "d2", "sig"],
             )
 
-    return map_batches(df, run, "id long, n long, d1 long, d2 long, sig binary")
+    return map_batches(df, run, "id long, hash long, n long, d1 long, d2 long, sig binary")
 
 
 def _band_keys(representatives: DataFrame) -> DataFrame:
@@ -274,19 +274,21 @@ def join(
     included; ``class_id`` is the smallest key of all that links connect; ``copy_id`` the
     smallest key of the same shingle set. A text of fewer than ``words`` words is one
     shingle; one without words, or null, has no links. Rows without a key are left out, and
-    rows that share a key are one document, with the text of the smallest digest. An empty
+    rows that share a key are one document, with the text of the smallest digest (of its shingles, then of itself). An empty
     table gives no rows. Further columns are left out.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("id"), df[text].alias("text")).filter(F.col("id").isNotNull())
+    rows = df.select(
+        F.col(key).cast("long").alias("id"), df[text].alias("text"), F.xxhash64(df[text]).alias("hash")
+    ).filter(F.col("id").isNotNull())
     sketched = store(spark, _sketch(rows, words), "sketches")
-    order = F.struct("d1", "d2")
-    one = sketched.groupBy("id").agg(F.min(order).alias("d")).select("id", "d.d1", "d.d2")
-    classes = store(
-        spark, one.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")),
-        "classes",
-    )
-    signed = sketched.select(F.col("id").alias("rep"), "d1", "d2", "sig").join(classes, ["rep", "d1", "d2"])
+    # Of rows that share a key one is chosen here, and its text's hash goes with it.
+    order = F.struct("d1", "d2", "hash")
+    one = sketched.groupBy("id").agg(F.min(order).alias("d")).select("id", "d.*")
+    first = F.min(F.struct(F.col("id").alias("rep"), "hash")).alias("first")
+    classes = one.filter("d1 is not null").groupBy("d1", "d2").agg(first, F.count("*").alias("copies"))
+    classes = store(spark, classes.select("d1", "d2", "first.*", "copies"), "classes")
+    signed = sketched.select(F.col("id").alias("rep"), "hash", "d1", "d2", "sig").join(classes, ["rep", "hash", "d1", "d2"])
     signed = signed.dropDuplicates(["rep"])
 
     # Buckets of two or more; of buckets with the same members, one.
@@ -300,13 +302,11 @@ def join(
     likely = store(spark, _likely_links(_in_chunks(members, "key", "chunks"), threshold, tolerance), "likely-links")
 
     near = store(spark, connected_components(likely, "a", "b"), "neighbourhoods")
-    texts = rows.select(F.col("id").alias("rep"), "text").join(near.withColumnRenamed("node", "rep"), "rep")
+    chosen = near.withColumnRenamed("node", "rep").join(classes.select("rep", "hash", "copies"), "rep")
+    texts = rows.withColumnRenamed("id", "rep").join(chosen, ["rep", "hash"]).drop("hash")
     sizes = texts.groupBy("component").agg(F.count("*").alias("size"), F.sum(F.octet_length("text")).alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("size") / CHUNK_ROWS), F.ceil(F.col("bytes") / CHUNK_BYTES))
-    members = (
-        texts.join(sizes.select("component", chunks.alias("chunks")), "component")
-        .join(classes.select("rep", "copies"), "rep").dropDuplicates(["rep"])
-    )
+    members = texts.join(sizes.select("component", chunks.alias("chunks")), "component").dropDuplicates(["rep"])
     verified = store(spark, _verified(_in_chunks(members, "component", "chunks"), threshold, words), "verified-links")
     linked = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(verified.select("rep", "parent"), "rep", "parent").toDF("rep", "class_id")

@@ -255,3 +255,17 @@ def test_every_planted_item_is_found(spark):
 def test_join_of_a_table(spark, rows):
     documents = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(queries.op5_jaccard_join(spark, SF_DIR)) == sorted(brute_join(documents), key=repr)
+
+
+def test_a_repeated_key_with_two_texts_has_one_result(spark):
+    draw = random.Random(21)
+    words = [f"w{draw.randrange(400)}" for _ in range(300)]
+    near = " ".join(words[:290] + ["other"] * 3)
+    rows = [(2, " ".join(words)), (2, " ".join(f"q{k}" for k in range(200))), (3, near), (3, near), (4, " ".join(words)),
+            (5, None), (5, "short text"), (5, " ".join(words))]
+    results = [
+        sorted(tuple(r) for r in jaccard_join.join(
+            spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(n)).collect())
+        for n in (1, 3, 4, 7) for k in (0, 3)
+    ]
+    assert all(r == results[0] for r in results) and len(results[0]) == 4

@@ -72,6 +72,44 @@ def test_mined_rules_are_the_counts(spark):
     ]
 
 
+def test_labels_without_a_cause_give_no_rules(spark):
+    draw = random.Random(11)
+    hosts = [f"h{k}.example" for k in range(30)]
+    rows = [(f"https://{draw.choice(hosts)}/{draw.choice('abcdef')}/{i}?{draw.choice('xyz')}=1", draw.random() < 0.25)
+            for i in range(4000)]
+    assert url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).count() == 0
+
+
+def test_a_raised_share_is_a_rule_though_most_pages_are_kept(spark):
+    """Blocked at 45 % where 15 % are: far under 0.75, far beyond chance."""
+    draw = random.Random(12)
+    rows = []
+    for i in range(4000):
+        host = draw.choice(["risky.example", *[f"h{k}.example" for k in range(9)]])
+        rows.append((f"https://{host}/{i}", draw.random() < (0.45 if host.startswith("risky") else 0.12)))
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    assert [r["antecedent"] for r in mined.collect()] == [["host:risky"]]
+
+
+def test_many_tokens_of_one_site_stay_few_rules(spark):
+    keys = "&".join(f"key{k}=1" for k in range(40))
+    rows = [(f"https://spam.example/{i}?{keys}", True) for i in range(60)] + [(f"https://ok.example/{i}", i % 20 == 0) for i in range(600)]
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
+    assert [r["antecedent"] for r in mined] == [["host:spam"]]
+
+
+def test_planted_associations_change_verdicts_on_the_table(spark):
+    """Labels that follow a token of the given pages: its pages without a given rule are blocked by the mined one."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    planted = pages.select("url", (F.col("url").contains("/de/") | (F.col("page_id") % 10 == 0)).alias("blocked"))
+    judged = url_rules.judge(pages, url_rules.mine(planted), queries.URL_RULES).collect()
+    urls = {r["page_id"]: r["url"] or "" for r in pages.collect()}
+    mined = [r for r in judged if r["mined_rule"] is not None]
+    assert {r["page_id"] for r in mined} >= {k for k, u in urls.items() if "/de/" in u}
+    assert {r["mined_rule"] for r in mined if "/de/" in urls[r["page_id"]]} == {"path:de"}
+    assert any(r["verdict"] == "block" and r["rule"] is None for r in mined)
+
+
 def test_no_labels_no_rules(spark):
     none = url_rules.mine(spark.createDataFrame([], "url string, blocked boolean"))
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
