@@ -271,12 +271,19 @@ def to_note_nlp(
     """Mentions in the form of the CDM table ``note_nlp``.
 
     The term or pattern is part of what an id is made of, so two of one concept at one
-    place have ids of their own.
+    place have ids of their own. Of mentions with ``section_concept_id``, ``status`` and ``experiencer``
+    (see ``context``) these are taken over; ``term_temporal`` is the status.
     """
+    known = mentions.columns
+    section = F.col("section_concept_id") if "section_concept_id" in known else F.lit(None)
+    experiencer = F.col("experiencer") if "experiencer" in known else F.lit("Patient")
+    modifiers = [F.lit(CERTAINTY_PREFIX), F.col("certainty"), F.lit(",experiencer="), experiencer]
+    if "status" in known:
+        modifiers += [F.lit(",status="), F.col("status")]
     when = F.lit(nlp_datetime).cast("timestamp_ntz") if nlp_datetime else F.localtimestamp()
     rows = mentions.select(
         "note_id",
-        F.lit(None).cast("int").alias("section_concept_id"),
+        section.cast("int").alias("section_concept_id"),
         "snippet",
         F.col("start").cast("string").alias("offset"),
         "lexical_variant",
@@ -286,8 +293,8 @@ def to_note_nlp(
         F.to_date(when).alias("nlp_date"),
         when.alias("nlp_datetime"),
         F.when(F.col("certainty") == POSITIVE, "Y").otherwise("N").alias("term_exists"),
-        F.lit(None).cast("string").alias("term_temporal"),
-        F.concat(F.lit(CERTAINTY_PREFIX), F.col("certainty"), F.lit(",experiencer=Patient")).alias("term_modifiers"),
+        (F.col("status") if "status" in known else F.lit(None)).cast("string").alias("term_temporal"),
+        F.concat(*modifiers).alias("term_modifiers"),
         "term",
     )
     return assign_nlp_id(rows, dense=dense_ids).drop("term")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from clinote.operators import tagger
+from clinote.operators import automaton, context, tagger
 from clinote.sources import sinks
 
 
@@ -17,13 +17,24 @@ def tag_notes(
     *,
     rules: Sequence[tuple[int, str]] = (),
     nlp_datetime: dt.datetime | None = None,
+    compiled: bool = False,
+    headers: DataFrame | None = None,
+    scoped_cues: Sequence[tuple[str, str, str]] | None = None,
     **options,
 ) -> DataFrame:
-    """Dictionary and rule mentions of the notes as ``note_nlp`` rows."""
-    found = tagger.tag(notes, lexicon, **options)
+    """Dictionary and rule mentions of the notes as ``note_nlp`` rows.
+
+    ``compiled`` looks terms up by an automaton. ``headers`` give mentions their section, ``scoped_cues`` (such as
+    ``context.CUES``) their certainty, status and experiencer by scopes instead of the word window.
+    """
+    found = (automaton if compiled else tagger).tag(notes, lexicon, **options)
     if rules:
-        context = {k: v for k, v in options.items() if k in ("cues", "cue_window", "snippet_radius")}
-        found = found.unionByName(tagger.tag_rules(notes, rules, **context))
+        shared = {k: v for k, v in options.items() if k in ("cues", "cue_window", "cue_stops", "snippet_radius")}
+        found = found.unionByName(tagger.tag_rules(notes, rules, **shared))
+    if headers is not None:
+        found = context.with_section(found, notes, headers)
+    if scoped_cues is not None:
+        found = context.with_assertion(found, notes, scoped_cues)
     return tagger.to_note_nlp(found, nlp_datetime=nlp_datetime)
 
 

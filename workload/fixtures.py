@@ -48,6 +48,15 @@ WIDE_LEXICON = [
     (305, "Marked", "(the"),
 ]
 RULES = [(401, r"licen[cs]e\w*"), (402, r"worthless \w+"), (403, r"\btoken\b")]
+# Words at the begin of a line that the notes with sections turn into headers, and the sections they open.
+HEADERS = [("The", 501), ("De", 502), ("In", 503), ("Of", 504), ("And", 505), ("La", 506)]
+# Words of the synthetic text as cues of every kind and direction.
+SCOPED_CUES = [
+    ("of the", "negation", "forward"), ("in", "negation", "forward"), ("it", "negation", "backward"),
+    ("to", "possibility", "forward"), ("was", "history", "backward"), ("is", "history", "both"),
+    ("that", "other", "forward"), ("de", "other", "backward"), ("for", "stop", ""), ("as", "stop", ""),
+    ("in the", "pseudo", ""), ("of the to", "pseudo", ""),
+]
 EXCLUDED_ID = 106
 CUES = ["the", "of", "and", "in"]
 BLOCK = 12
@@ -130,6 +139,17 @@ def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sectioned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note texts in which the header words open sections."""
+    words = "|".join(word for word, _ in HEADERS)
+    return note_texts(spark, sf_dir).withColumn("note_text", F.regexp_replace("note_text", f"(?md)^({words}) ", "$1: "))
+
+
+def headers(spark: SparkSession) -> DataFrame:
+    values = ", ".join(f"('{word}', {section})" for word, section in HEADERS)
+    return spark.sql(f"select * from values {values} as t(header, section_concept_id)")
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     encounter = (

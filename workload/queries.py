@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from clinote import schemas
 from clinote.functions.text import NEGATED, POSITIVE, spreadsheet_safe
 from clinote.operators import (
-    annotate, cohort, crosswalk, errors, evaluate, features, ingest, ner, profile, review, tagger,
+    annotate, automaton, cohort, context, crosswalk, errors, evaluate, features, ingest, ner, profile, review, tagger,
 )
 from clinote.plans import comparison, corpus as corpus_plan, tagging
 from clinote.session import scratch_path, store
@@ -431,6 +431,54 @@ def tag_wide_terms_shuffled(spark, sf):
     return found.select("note_id", "concept_id", "term", "start", "lexical_variant")
 
 
+@query
+def tag_wide_terms_compiled(spark, sf):
+    """The same by an automaton."""
+    found = automaton.tag(fx.note_texts(spark, sf), fx.wide_lexicon(spark))
+    return found.select("note_id", "concept_id", "term", "start", "lexical_variant")
+
+
+@query
+def tag_longest_terms(spark, sf):
+    """From the left, the longest term at each place, then on behind it."""
+    found = automaton.tag(fx.note_texts(spark, sf), fx.wide_lexicon(spark), overlaps=automaton.LONGEST)
+    return found.select("note_id", "concept_id", "term", "start", "lexical_variant")
+
+
+def _tagged_sections(spark, sf):
+    return tagger.tag(fx.sectioned_texts(spark, sf), fx.lexicon(spark), cues=fx.CUES)
+
+
+@query
+def note_sections(spark, sf):
+    return context.section_spans(fx.sectioned_texts(spark, sf), fx.headers(spark))
+
+
+@query
+def mention_sections(spark, sf):
+    placed = context.with_section(_tagged_sections(spark, sf), fx.sectioned_texts(spark, sf), fx.headers(spark))
+    return placed.select("note_id", "start", "concept_id", "section_concept_id")
+
+
+@query
+def mention_assertions(spark, sf):
+    """Certainty, status and experiencer by the scopes of cues."""
+    told = context.with_assertion(_tagged(spark, sf), fx.note_texts(spark, sf), fx.SCOPED_CUES)
+    return told.select("note_id", "start", "concept_id", "certainty", "status", "experiencer")
+
+
+@query
+def note_nlp_in_context(spark, sf):
+    """Mentions as ``note_nlp`` rows with their section and modifiers."""
+    rows = tagging.tag_notes(
+        fx.sectioned_texts(spark, sf), fx.lexicon(spark), nlp_datetime=NLP_TIME, compiled=True, cues=fx.CUES,
+        headers=fx.headers(spark), scoped_cues=fx.SCOPED_CUES,
+    )
+    return rows.select(
+        "note_id", "offset", "note_nlp_concept_id", "section_concept_id", "term_exists", "term_temporal", "term_modifiers"
+    )
+
+
 @query
 def tag_rules(spark, sf):
     found = tagger.tag_rules(fx.note_texts(spark, sf), fx.RULES)
