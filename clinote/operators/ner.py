@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clinote.functions import ranking, text
 from clinote.functions.columns import compute_once
+from clinote.functions.tokenizer import Rules, expand_to_rule_tokens, with_rule_tokens
 from clinote.operators.crosswalk import exclude_concept_ids
 
 TERM_USAGE = "label_term_usage"
@@ -123,8 +124,10 @@ def label(first: DataFrame, concepts: DataFrame, style: str) -> DataFrame:
     return named.withColumn("label", F.when(certainty == wanted, F.col("concept_label"))).drop("concept_label")
 
 
-def expand_spans(rows: DataFrame) -> DataFrame:
-    """Grow ``start, end`` to whole tokens of the snippet."""
+def expand_spans(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Grow ``start, end`` to whole tokens of the snippet: word runs, or the tokens of a rule tokenizer."""
+    if rules is not None:
+        return expand_to_rule_tokens(rows, rules=rules)
     start, end = text.expand_to_tokens(F.col("snippet"), F.col("start"), F.col("end"))
     return compute_once(rows, {"start": start, "end": end})
 
@@ -143,9 +146,9 @@ def _overlapping(ents: Column) -> Column:
     return walked
 
 
-def documents(first: DataFrame, concepts: DataFrame, style: str) -> DataFrame:
+def documents(first: DataFrame, concepts: DataFrame, style: str, rules: Rules | None = None) -> DataFrame:
     """One row per snippet: ``sha1, text, ents, overlaps``; ``ents`` may be empty."""
-    labelled = expand_spans(label(first, concepts, style))
+    labelled = expand_spans(label(first, concepts, style), rules)
     entity = F.when(F.col("label").isNotNull(), F.struct("start", "end", "label"))
     return (
         labelled.groupBy("sha1")
@@ -154,12 +157,14 @@ def documents(first: DataFrame, concepts: DataFrame, style: str) -> DataFrame:
     )
 
 
-def corpora(first: DataFrame, concepts: DataFrame, styles: tuple[str, ...] = STYLES) -> DataFrame:
+def corpora(
+    first: DataFrame, concepts: DataFrame, styles: tuple[str, ...] = STYLES, rules: Rules | None = None
+) -> DataFrame:
     """Annotated documents of several styles with their ``style``, from one pass over the mentions.
 
     A style in which the spans of a document overlap leaves that document out.
     """
-    rows = expand_spans(with_concept_label(first, concepts))
+    rows = expand_spans(with_concept_label(first, concepts), rules)
     certainty = F.col("certainty")
     labels = {
         TERM_USAGE: certainty,
@@ -176,9 +181,9 @@ def corpora(first: DataFrame, concepts: DataFrame, styles: tuple[str, ...] = STY
     return each.filter(~_overlapping(F.col("ents"))).select("sha1", "text", "ents", "style")
 
 
-def corpus(first: DataFrame, concepts: DataFrame, style: str) -> DataFrame:
+def corpus(first: DataFrame, concepts: DataFrame, style: str, rules: Rules | None = None) -> DataFrame:
     """Annotated documents; one whose spans overlap is left out whole."""
-    return documents(first, concepts, style).filter(~F.col("overlaps")).drop("overlaps")
+    return documents(first, concepts, style, rules).filter(~F.col("overlaps")).drop("overlaps")
 
 
 def with_position(corpus_rows: DataFrame) -> DataFrame:
@@ -203,7 +208,7 @@ def split_by_group(
 ) -> DataFrame:
     """Add ``split`` so that a whole group (such as a note) falls on one side.
 
-    The share is met on average, not exactly: each group is placed by its own digest.
+    The share is met on average, not exactly: each group is placed by its own digest. ``splits`` meets it exactly.
     """
     if not 0.0 <= test_fraction <= 1.0:
         raise ValueError("test_fraction must lie between 0 and 1")
@@ -212,5 +217,9 @@ def split_by_group(
     return rows.withColumn("split", F.when(draw < int(test_fraction * steps), "test").otherwise("train"))
 
 
-def with_tokens(corpus_rows: DataFrame) -> DataFrame:
+def with_tokens(corpus_rows: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Add ``tokens``, the texts of the tokens in order."""
+    if rules is not None:
+        cut = F.transform("tokens", lambda t: F.substring("text", t["start"] + 1, t["end"] - t["start"]))
+        return with_rule_tokens(corpus_rows, "text", rules).withColumn("tokens", cut)
     return corpus_rows.withColumn("tokens", text.tokens(F.col("text")))

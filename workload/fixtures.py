@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from clinote import schemas
 from clinote.functions.columns import compute_once
+from clinote.functions.tokenizer import Rules
 from clinote.plans.comparison import Tables
 from clinote.sources.readers import read_table
 
@@ -57,6 +58,10 @@ SCOPED_CUES = [
     ("that", "other", "forward"), ("de", "other", "backward"), ("for", "stop", ""), ("as", "stop", ""),
     ("in the", "pseudo", ""), ("of the to", "pseudo", ""),
 ]
+# A small table of affixes that SQL can follow.
+TOKEN_RULES = Rules(
+    prefixes=(r"\(", '"'), suffixes=(",", r"\.", "!", r"\)"), infixes=("-",), exceptions={"The.": ("The.",)}, whole=None
+)
 EXCLUDED_ID = 106
 CUES = ["the", "of", "and", "in"]
 BLOCK = 12

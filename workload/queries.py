@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from clinote import schemas
 from clinote.functions.text import NEGATED, POSITIVE, spreadsheet_safe
 from clinote.operators import (
-    annotate, automaton, cohort, context, crosswalk, errors, evaluate, features, ingest, ner, profile, review, tagger,
+    annotate, automaton, cohort, context, crosswalk, errors, evaluate, features, ingest, ner, profile, review, splits,
+    tagger,
 )
 from clinote.plans import comparison, corpus as corpus_plan, tagging
 from clinote.session import scratch_path, store
-from clinote.sources import readers, sinks
+from clinote.sources import readers, registry, sinks
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +111,29 @@ def assign_nlp_id(spark, sf):
     return ingest.assign_nlp_id(store(spark, rows, "new-mentions"), dense=True)
 
 
+@query
+def continuing_ids(spark, sf):
+    """Mentions of every second note are loaded first, then those of all: the numbers go on, known ones stay."""
+    rows = store(spark, _tagged(spark, sf).select(
+        "note_id", F.col("start").cast("string").alias("offset"), F.col("concept_id").alias("note_nlp_concept_id"),
+        "lexical_variant",
+    ), "new-mentions")
+    path, key = scratch_path(spark, "registry"), rows.columns
+    registry.number_keys(rows.filter("note_id % 2 = 0"), key, path, "note_nlp_id")
+    return registry.number_keys(rows, key, path, "note_nlp_id")
+
+
+@query
+def repeated_load(spark, sf):
+    """All notes loaded, and loaded again."""
+    note_nlp = tagging.tag_notes(fx.note_texts(spark, sf), fx.lexicon(spark), nlp_datetime=NLP_TIME, cues=fx.CUES)
+    rows, path = tagging.load_rows(note_nlp), scratch_path(spark, "note-nlp")
+    for _ in range(2):
+        registry.replace_notes(rows, fx.note_texts(spark, sf), path)
+    loaded = registry.read_notes(spark, path, rows.schema)
+    return loaded.withColumn("nlp_date", F.col("nlp_date").cast("string"))
+
+
 @query
 def token_records(spark, sf):
     records = annotate.token_records(_corpus(spark, sf, ner.POSITIVE_CONCEPTS))
@@ -594,6 +618,27 @@ def document_tokens(spark, sf):
     )
 
 
+@query
+def rule_tokens(spark, sf):
+    """Tokens of whole notes by a table of affixes and exceptions."""
+    texts = fx.note_texts(spark, sf).withColumnRenamed("note_text", "text")
+    return ner.with_tokens(texts, fx.TOKEN_RULES).select(
+        "note_id", F.array_join("tokens", "|").alias("tokens"), F.size("tokens").alias("n_tokens")
+    )
+
+
+@query
+def exact_group_split(spark, sf):
+    """Mentions split by whole notes: rows, test rows, and notes on both sides."""
+    drawn = store(spark, splits.split_by_group_exactly(fx.mentions(spark, sf).select("note_id"), "note_id"), "group-split")
+    sides = drawn.groupBy("note_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("test"), F.count_distinct("split").alias("sides")
+    )
+    return sides.agg(
+        F.sum("n").alias("n_rows"), F.sum("test").alias("n_test"), F.count_if(F.col("sides") > 1).alias("n_torn")
+    )
+
+
 @query
 def corpus_positions(spark, sf):
     keys = store(spark, _corpus(spark, sf, ner.POSITIVE_CONCEPTS).select("sha1"), "corpus-keys")
