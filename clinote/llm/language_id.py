@@ -152,14 +152,24 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return belief.argmax(axis=1), ranked[:, -1], lead
 
 
-def _judge(model: Model | None, texts: pa.Array, min_lead: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distance(model: Model, margins: np.ndarray) -> np.ndarray:
+    """Weighted loss to the nearest codeword: small where all classifiers agree with one, large for noise."""
+    losses = np.logaddexp(0, -model.codes[None, :, :] * margins[:, None, :])
+    return (losses * model.reliability).sum(axis=2).min(axis=1)
+
+
+def _judge(
+    model: Model | None, texts: pa.Array, min_lead: float, max_distance: float = float("inf")
+) -> tuple[list[str], np.ndarray, np.ndarray]:
     n = len(texts)
     if model is None or not n:
         return [UNDETERMINED] * n, np.zeros(n), np.zeros(n, dtype=bool)
     vectors, has_letters = features(texts, len(model.weights))
-    place, score, lead = decode(model, vectors @ model.weights + model.bias)
+    margins = vectors @ model.weights + model.bias
+    place, score, lead = decode(model, margins)
     names = [model.languages[p] if letters else UNDETERMINED for p, letters in zip(place, has_letters)]
-    return names, np.where(has_letters, score, 0.0), has_letters & (lead < min_lead)
+    unsure = (lead < min_lead) | (distance(model, margins) > max_distance)
+    return names, np.where(has_letters, score, 0.0), has_letters & unsure
 
 
 def predict(
@@ -183,34 +193,44 @@ def predict(
     return map_batches(df.select(key, df[text].alias("text")), run, schema)
 
 
-def rejection_lead(
-    labelled: DataFrame, model: Model | None, *, text: str = "text", label: str = "lang", share: float = 0.001,
-    at_most: float = 0.5,
+def rejection_distance(
+    labelled: DataFrame, model: Model | None, *, text: str = "text", label: str = "lang", share: float = 0.001
 ) -> float:
-    """The lead under which ``share`` of the labelled texts with letters lie, ``at_most`` at most; 0 without any."""
+    """The distance from the nearest codeword beyond which a text is of no known language.
+
+    A third of the way from where but ``share`` of the labelled texts with letters lie to where a text lies that says
+    nothing to any classifier, so that few labelled texts do not make a narrow limit.
+    All labelled texts count. Without any, or without a model, no text is too far.
+    """
     if model is None:
-        return 0.0
+        return float("inf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE_BYTES, _SLICE_ROWS):
             vectors, has_letters = features(batch.column(0), len(model.weights))
-            _, _, lead = decode(model, vectors @ model.weights + model.bias)
-            yield pa.RecordBatch.from_arrays([pa.array(lead[has_letters].astype(np.float64))], names=["lead"])
+            far = distance(model, vectors @ model.weights + model.bias)
+            yield pa.RecordBatch.from_arrays([pa.array(far[has_letters].astype(np.float64))], names=["distance"])
 
     rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    lowest = map_batches(rows, run, "lead double").agg(F.percentile_approx("lead", share, 10_000)).first()[0]
-    return 0.0 if lowest is None else min(lowest, at_most)
+    found = map_batches(rows, run, "distance double").agg(F.percentile_approx("distance", 1 - share, 100_000)).first()[0]
+    nothing = float(distance(model, np.zeros((1, model.codes.shape[1])))[0])
+    return float("inf") if found is None else found + max(0.0, nothing - found) / 3
+
 
+def keep_determined(
+    df: DataFrame, model: Model | None, *, text: str = "text", min_lead: float = 0.1, max_distance: float = float("inf")
+) -> DataFrame:
+    """The rows, with all their columns, whose language is determined: neither ambiguous nor too far from any codeword.
 
-def keep_determined(df: DataFrame, model: Model | None, *, text: str = "text", min_lead: float = 0.1) -> DataFrame:
-    """The rows, with all their columns, whose language is determined and not ambiguous; without a model all."""
+    Without a model all rows stay.
+    """
     if model is None:
         return df
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, _SLICE_BYTES, _SLICE_ROWS):
-            names, _, unsure = _judge(model, batch.column(columns.index(text)), min_lead)
+            names, _, unsure = _judge(model, batch.column(columns.index(text)), min_lead, max_distance)
             keep = [name != UNDETERMINED and not doubt for name, doubt in zip(names, unsure)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -33,6 +33,7 @@ UNITS = (
     "days week weeks month months year years eur usd gbp euro euros dollar dollars cent cents percent degrees degree "
     "kb mb gb tb w kw mw v a hz khz mhz ghz j kj cal kcal n pa kpa bar mol"
 ).split()
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
 _SLICE_BYTES = 2 << 20
 _EXACT = np.uint64(0x5851F42D4C957F2D)
 _KINDS = mix(np.array([11, 12, 13], dtype=np.uint64))  # number, name, unit
@@ -52,10 +53,18 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _apart(texts: pa.Array) -> pa.Array:
+    """The texts with blanks around characters of scripts that are written without them, which are words each."""
+    unspaced = pc.match_substring_regex(texts, _UNSPACED)
+    if not pc.any(unspaced).as_py():
+        return texts
+    return pc.if_else(unspaced, pc.replace_substring_regex(texts, f"({_UNSPACED})", r" \1 "), texts)
+
+
 def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template word, value and placeholder flag of every word, and the number of words per text."""
     plain = pc.replace_substring_regex(pc.fill_null(texts, ""), r"(\d)[.,](\d)", r"\1\2")
-    plain = pc.binary_join_element_wise(" ", pc.replace_substring_regex(plain, NOT_WORD, " "), "")
+    plain = _apart(pc.binary_join_element_wise(" ", pc.replace_substring_regex(plain, NOT_WORD, " "), ""))
     marked = pc.replace_substring_regex(plain, r" (\p{Lu}[\p{Ll}\p{M}]+)", r" ^\1")
     data, starts, _, counts = words_between_blanks(marked)
     first = data[starts]
@@ -209,7 +218,9 @@ def find(
     or numbers as one placeholder, so that names may have more or fewer words. ``same_values``
     tells that the placeholders hold the item's values. An item of fewer than ``window`` words
     is one window. Windows that are mostly placeholders are found with the item's own values, or
-    where windows found on the same alignment cover their words. Rows without key, item or text give nothing; repeated rows count
+    where windows found on the same alignment cover their words. Characters of scripts without blanks are words each.
+    An item without any word is found by its symbols in a row, blanks aside; one without symbols either is nothing.
+    Rows without key, item or text give nothing; repeated rows count
     once; further columns are left out.
     """
     items = benchmark.select(F.col(item).alias("key"), F.col(item_text).alias("text"))
@@ -257,7 +268,37 @@ def find(
     best = near.filter(F.col("coverage") >= min_coverage).groupBy("key", "item").agg(
         F.max(F.struct("coverage", "same_values")).alias("best")
     )
-    return best.select(F.col("key").alias(key), F.col("item").alias(item), "best.coverage", "best.same_values")
+    found = best.select(F.col("key").alias(key), F.col("item").alias(item), "best.coverage", "best.same_values")
+    wordless = _wordless(items)
+    lengths = [r[0] for r in wordless.select(F.length("symbols")).distinct().collect()]
+    if not lengths:
+        return found
+    met = _symbol_runs(rows, lengths).join(wordless, "symbols").select(F.col("key").alias(key), F.col("item").alias(item))
+    return found.unionByName(met.distinct().withColumns({"coverage": F.lit(1.0), "same_values": F.lit(True)}))
+
+
+_WORDS, _BLANKS = r"[\p{L}\p{M}\p{N}]+", r"(?U)\s+"
+
+
+def _wordless(items: DataFrame) -> DataFrame:
+    """``item, symbols`` of the items without a letter or digit."""
+    symbols = F.regexp_replace("text", _BLANKS, "")
+    return items.filter(~F.col("text").rlike(_WORDS)).select(F.col("key").alias("item"), symbols.alias("symbols")).filter(
+        "symbols <> ''"
+    )
+
+
+def _symbol_runs(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``key, symbols``: all stretches of these lengths of the symbols that stand between two words."""
+    between = F.explode(F.split(F.regexp_replace("text", _BLANKS, ""), _WORDS))
+    runs = rows.select("key", between.alias("run")).filter(F.length("run") >= min(lengths))
+
+    def stretches(n: int) -> Column:
+        all_of = F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda at: F.substring("run", at, F.lit(n)))
+        return F.when(F.length("run") >= n, all_of).otherwise(F.array().cast("array<string>"))
+
+    cut = [stretches(n) for n in lengths]
+    return runs.select("key", F.explode(F.concat(*cut)).alias("symbols"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

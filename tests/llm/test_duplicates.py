@@ -269,3 +269,45 @@ def test_a_repeated_key_with_two_texts_has_one_result(spark):
         for n in (1, 3, 4, 7) for k in (0, 3)
     ]
     assert all(r == results[0] for r in results) and len(results[0]) == 4
+
+
+def test_items_in_unspaced_scripts_and_without_words(spark):
+    items = spark.createDataFrame(
+        [(1, "你好世界今天天气怎么样"), (2, "??? !!!"), (3, "→ → ←"), (4, "สวัสดีชาวโลกวันนี้"), (5, " "), (6, "何時ですか 今日は")],
+        "item_id long, text string")
+    texts = [
+        (1, "昨天他说你好世界今天天气怎么样我说好"), (2, "really??? !!! yes"), (3, "really ?? !!! yes"), (4, "a→→←←b"), (5, "→→ b ←"),
+        (6, "ก่อนสวัสดีชาวโลกวันนี้หลัง"), (7, "plain words only here"), (8, "你好 世界 昨天"), (9, "(????!!!!)"), (None, "??? !!!"), (10, None),
+        (11, "それは何時ですか 今日はいい"), (2, "really??? !!! yes"),
+    ]
+    documents = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, symbols string")
+    for held in (template_decontamination.MAX_HELD_HASHES, 0):
+        found = template_decontamination.find(documents, items, max_held_hashes=held).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 2), (4, 3), (6, 4), (9, 2), (11, 6)]
+    assert template_decontamination.drop_contaminated(documents, items).count() == 6
+
+
+def brute_verbatim(text, item):
+    """An item stands in a text word by word."""
+    words = lambda t: re.findall(r"[^\W_]+", re.sub(r"(\d)[.,](\d)", r"\1\2", t).lower())
+    a, b = words(text), words(item)
+    return bool(b) and any(a[k:k + len(b)] == b for k in range(len(a) - len(b) + 1))
+
+
+def test_every_verbatim_copy_is_found_and_nothing_in_other_words(spark):
+    draw = random.Random(31)
+    vocabulary = ["the", "cost", "of", "Tom", "Ann", "12", "3", "km", "apples", "is", "how", "many", "left", "when", "Paris", "x9"]
+    make = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    items = [(k, make(draw.choice([1, 3, 7, 8, 12, 30]))) for k in range(40)]
+    filler = ["lorem", "ipsum", "dolor", "sit", "amet", "elit"]
+    texts = []
+    for k in range(150):
+        other = [draw.choice(filler) for _ in range(draw.randrange(30))]
+        at = draw.randrange(len(other) + 1)
+        item = draw.choice(items)[1] if k % 3 else ""
+        texts.append((k, " ".join([*other[:at], item, *other[at:]])))
+    found = {(r["doc_id"], r["item_id"]) for r in template_decontamination.find(
+        spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    verbatim = {(k, i) for k, t in texts for i, item in items if brute_verbatim(t, item)}
+    assert verbatim <= found
+    assert not {k for k, _ in found} & {k for k, t in texts if k % 3 == 0}

@@ -6,10 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_duplicates import brute_join
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from clinote.llm import language_id, queries, url_rules
@@ -184,11 +186,23 @@ def test_language_stage_rejects_noise_but_keeps_all_without_labels(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     extra = spark.createDataFrame([(10**6, "kjh", None, "s", 3), (10**6 + 1, "xkcd wqrt zpfg vbnm", None, "s", 19)], docs.schema)
     kept = corpus_pipeline.identify_language(spark, docs.union(extra), SF_DIR)
-    assert {r["doc_id"] for r in kept.select("doc_id").collect()} & {10**6, 10**6 + 1} == {10**6 + 1}
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in docs.collect()}
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.identify_language(spark, unlabelled, SF_DIR).count() == docs.count()
 
 
+def test_noise_is_rejected_and_held_out_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    known = docs.filter(~language_id.is_held_out())
+    model = language_id.train(known)
+    limit = language_id.rejection_distance(known, model)
+    keep = lambda df: language_id.keep_determined(df, model, min_lead=0.0, max_distance=limit)
+    held = docs.filter(language_id.is_held_out() & F.col("text").rlike(r"\p{L}"))
+    assert keep(held).count() >= 0.99 * held.count()
+    noise = ["xkcd wqrt zpfg vbnm", "qqq zzz xxx", "kjh", "asdf qwer zxcv uiop hjkl", "你好世界今天天气怎么样", "MZXQ KJWV PQRT " * 50]
+    assert keep(spark.createDataFrame([(k, t, None) for k, t in enumerate(noise)], docs.schema)).count() == 0
+
+
 def test_stages_do_what_they_say(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "12 !!", "en", "s", 5)], docs.schema)
@@ -211,8 +225,18 @@ def test_stages_do_what_they_say(spark):
 
 
 def test_run_and_an_empty_table(spark, tmp_path):
-    assert corpus_pipeline.run(spark, SF_DIR).count() > 100
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    # The four stages by plain loops and the tokenizers library.
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    texts = {k: t for k, t in texts.items() if t and any(c.isalpha() for c in t)}
+    texts = {k: texts[k] for k, first, _, _ in brute_join(list(texts.items())) if k == first}
+    items = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    texts = {k: t for k, t in texts.items() if not any(i in t for i in items)}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = {k: library.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    rows = corpus_pipeline.run(spark, SF_DIR).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows} == wanted and len(rows) == len(wanted) > 100
+    assert all(r["is_lossless"] for r in rows)
     documents.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF_DIR}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
