@@ -31,12 +31,11 @@ def build_session(app_name: str = "clinote", master: str | None = None, **conf:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in a folder that all executors reach; it is deleted when the session's JVM ends.
 
-    The folder is ``spark.checkpoint.dir``, or where that is unset, one beside the tables of
-    the warehouse.
+    The folder is ``spark.checkpoint.dir``, or where that is unset, one inside the warehouse.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{shared}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)

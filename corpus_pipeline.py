@@ -1,7 +1,7 @@
 """The training-data pipeline: four operators, one after the other, on the documents.
 
-1. ``language_id``: error-correcting output codes; texts without a language (null, without a letter, or with a
-   smaller lead than all but a thousandth of the labelled ones, 0.5 at most) go. Without labels all stay.
+1. ``language_id``: error-correcting output codes; texts without a language (null, without a letter, or clearly
+   farther from every codeword than all but a thousandth of the labelled ones) go. Without labels all stay.
 2. ``jaccard_join``: of the documents that links of word-shingle similarity connect, the one with the
    smallest ``doc_id`` stays.
 3. ``decontamination``: documents that hold a benchmark item, also with other numbers or
@@ -24,15 +24,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clinote.llm import bpe_automaton, jaccard_join, language_id, template_decontamination
 from clinote.session import store
 
-#: SQL cannot express the stages; ``tests/llm/test_pipeline.py`` holds them against a brute-force version.
+#: SQL cannot express the stages; ``tests/llm/test_learned.py`` holds them against a brute-force version.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.filter(~language_id.is_held_out())
     model = language_id.train(known)
-    # Clean documents lead clearly; below that lead, a text is noise or mixed.
-    return language_id.keep_determined(docs, model, min_lead=language_id.rejection_lead(known, model))
+    # A short clean text may lie between two languages, but near them; noise is far from all.
+    return language_id.keep_determined(
+        docs, model, min_lead=0.0, max_distance=language_id.rejection_distance(known, model)
+    )
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
