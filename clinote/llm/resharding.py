@@ -244,17 +244,18 @@ def _parts(made: Plan) -> int:
     return max(16, min(parts, MAX_GROUPS // (news * max(1, len(made.ranges)))))
 
 
-def _numbered(placed: DataFrame, key: str, parts: int, shards: int) -> DataFrame:
+def _numbered(placed: DataFrame, key: str, made: Plan) -> DataFrame:
     """``key, text, old, slot, shard`` with slots that are gapless from 0 within a shard."""
-    group = ["shard", "part", "old", "layer"]
+    group, parts = ["shard", "part", "old", "layer"], _parts(made)
     cut = placed.withColumn("part", F.floor(F.col("hash") / (_HASHES // parts)).cast("int"))
     counted = cut.groupBy(*group).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part", "old", "layer").rowsBetween(Window.unboundedPreceding, -1)
     # At most MAX_GROUPS rows, whatever the data.
     firsts = counted.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy(*group).orderBy("hash", key)
-    # Twice as many partitions as ranges, so that few ranges meet in one.
-    dealt = cut.repartition(min(2 * parts * max(1, shards), MAX_GROUPS), "shard", "part")
+    # Partitions of a quarter of a range's bytes on average, so that few large ranges meet in one.
+    n = max(32, min(4 * sum(made.flow.values()) // PART_BYTES, MAX_GROUPS))
+    dealt = cut.repartition(n, "shard", "part")
     return (
         dealt.withColumn("row", F.row_number().over(inside) - 1)
         .join(F.broadcast(firsts), group)
@@ -278,7 +279,7 @@ def rewrite(
     """
     affected = made.affected()
     placed = _shards_and_rows(df, old, made, key, text).filter(F.col("shard").isin(affected))
-    _numbered(placed, key, _parts(made), len(affected)).write.partitionBy("shard").parquet(path)
+    _numbered(placed, key, made).write.partitionBy("shard").parquet(path)
     kind = dict(df.dtypes)[key]
     return df.sparkSession.read.schema(f"`{key}` {kind}, text string, old int, slot long, shard int").parquet(path)
 
@@ -290,4 +291,4 @@ def untouched(df: DataFrame, old: str, made: Plan, *, key: str = "doc_id", text:
     """
     kept = sorted({new for _, new in made.flow} - set(made.affected()))
     placed = _shards_and_rows(df, old, made, key, text).filter(F.col("shard").isin(kept))
-    return _numbered(placed, key, _parts(made), len(kept))
+    return _numbered(placed, key, made)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from clinote.llm.workers import map_batches
@@ -63,67 +64,133 @@ def _stripes(documents: DataFrame, text: str, lang: str, source: str, held_entri
 
 
 def _spill(frequency: dict[str, Counter], counts: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
-    stripes: dict[str, dict[bytes, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
-    for (language, origin), terms in counts.items():
-        held = stripes[language]
-        held[_NO_TERM].append((origin, 0))
-        for term, n in terms.items():
-            held[term].append((origin, n))
-    for language, held in stripes.items():
-        documents = frequency[language]
-        rows = list(held.items())
-        for at in range(0, len(rows), 20_000):
-            part = rows[at:at + 20_000]
-            bounds = pa.array(np.cumsum([0, *(len(stripe) for _, stripe in part)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([language] * len(part), pa.string()), pa.array([term for term, _ in part], pa.binary()),
-                 pa.array([documents[term] for term, _ in part], pa.int64()),
-                 pa.ListArray.from_arrays(bounds, pa.array([s for _, stripe in part for s, _ in stripe], pa.string())),
-                 pa.ListArray.from_arrays(bounds, pa.array([n for _, stripe in part for _, n in stripe], pa.int64()))],
-                names=["lang", "term", "docs", "sources", "counts"],
+    for language, documents in frequency.items():
+        origins = [(origin, held) for (lang, origin), held in counts.items() if lang == language]
+        terms = list(documents)
+        place = dict(zip(terms, range(len(terms))))
+        at = [np.fromiter(map(place.__getitem__, held), np.int64, len(held)) for _, held in origins]
+        n = [np.fromiter(held.values(), np.int64, len(held)) for _, held in origins]
+        names = np.repeat(np.arange(len(origins)), [len(a) for a in at])
+        order = np.argsort(np.concatenate(at), kind="stable")
+        sources = pa.DictionaryArray.from_arrays(
+            pa.array(names[order], pa.int32()), pa.array([origin for origin, _ in origins], pa.string())
+        ).cast(pa.string())
+        numbers = pa.array(np.concatenate(n)[order], pa.int64())
+        bounds = np.append(0, np.cumsum(np.bincount(np.concatenate(at), minlength=len(terms))))
+        yield _stripe_batch(
+            language, [_NO_TERM], [0], np.array([0, len(origins)]), sources=pa.array([o for o, _ in origins], pa.string()),
+            numbers=pa.array([0] * len(origins), pa.int64()),
+        )
+        docs = list(documents.values())
+        for first in range(0, len(terms), 20_000):
+            last = min(first + 20_000, len(terms))
+            inside = slice(int(bounds[first]), int(bounds[last]))
+            yield _stripe_batch(
+                language, terms[first:last], docs[first:last], bounds[first:last + 1] - bounds[first],
+                sources=sources[inside], numbers=numbers[inside],
             )
 
 
+def _stripe_batch(
+    language: str, terms: list[bytes], docs: list[int], bounds: np.ndarray, *, sources: pa.Array, numbers: pa.Array
+) -> pa.RecordBatch:
+    offsets = pa.array(bounds, pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([language] * len(terms), pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()),
+         pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, numbers)],
+        names=["lang", "term", "docs", "sources", "counts"],
+    )
+
+
+def _opens(rows: pa.Table) -> np.ndarray:
+    """True where a row's key differs from that of the row before."""
+    new = np.ones(rows.num_rows, dtype=bool)
+    for name in ("lang", "term"):
+        column = rows.column(name).combine_chunks()
+        other = pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        new[1:] = other if name == "lang" else new[1:] | other
+    return new
+
+
+def _merged(rows: pa.Table, new: np.ndarray, min_documents: int) -> Iterator[tuple[str, list[bytes], np.ndarray, pa.Array, np.ndarray]]:
+    """Whole runs of equal keys as one stripe each, where kept: language, terms, their numbers of sources, sources, counts.
+
+    A stripe without a term comes by itself.
+    """
+    starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+    docs = np.add.reduceat(rows.column("docs").to_numpy(), starts)
+    no_term = pc.equal(rows.column("term"), _NO_TERM).to_numpy()[starts]
+    kept = no_term | (docs >= min_documents)
+    rows, run = rows.filter(pa.array(kept[run])).combine_chunks(), run[kept[run]]
+    if not rows.num_rows:
+        return
+    chosen, run = np.unique(run, return_inverse=True)
+    lists = rows.column("sources").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    names, width = coded.dictionary, len(coded.dictionary)
+    key = np.repeat(run, pc.list_value_length(lists).to_numpy()) * width + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    counts = np.add.reduceat(rows.column("counts").combine_chunks().flatten().to_numpy()[order], first)
+    owner, source = np.divmod(key[order][first], width)
+    sizes = np.bincount(owner, minlength=len(chosen))
+    opening = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    terms = rows.column("term").take(pa.array(opening)).to_pylist()
+    langs = rows.column("lang").take(pa.array(opening)).to_pylist()
+    bounds = np.append(0, np.cumsum(sizes))
+    single = no_term[chosen]
+    at = 0
+    while at < len(terms):
+        end = at + 1
+        while not single[at] and end < len(terms) and langs[end] == langs[at] and not single[end]:
+            end += 1
+        inside = slice(bounds[at], bounds[end])
+        yield langs[at], terms[at:end], sizes[at:end], names.take(pa.array(source[inside])), counts[inside]
+        at = end
+
+
 def _merge(min_documents: int):
     """Merge sorted stripes of equal keys and pack the kept ones; what names the sources is a block of its own."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, documents, merged = None, 0, {}
-        block: list[tuple[bytes, dict[str, int]]] = []
-        held = 0
-
-        def packed(language: str, rows: list[tuple[bytes, dict[str, int]]]) -> pa.RecordBatch:
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([language], pa.string()), one([t for t, _ in rows], pa.binary()),
-                 one([len(m) for _, m in rows], pa.int32()), one([s for _, m in rows for s in m], pa.string()),
-                 one([n for _, m in rows for n in m.values()], pa.int64())],
-                names=["lang", "terms", "sizes", "sources", "counts"],
-            )
-
+    def packed(language: str, parts: list[tuple]) -> pa.RecordBatch:
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([language], pa.string()), one(pa.array([t for p in parts for t in p[0]], pa.binary())),
+             one(pa.array(np.concatenate([p[1] for p in parts]), pa.int32())), one(pa.concat_arrays([p[2] for p in parts])),
+             one(pa.array(np.concatenate([p[3] for p in parts]), pa.int64()))],
+            names=["lang", "terms", "sizes", "sources", "counts"],
+        )
+
+    def pack(stripes: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        parts, of, held = [], None, 0
+        for language, *part in stripes:
+            alone = part[0][0] == _NO_TERM
+            if parts and (alone or language != of or held > BLOCK_COUNTS):
+                yield packed(of, parts)
+                parts, held = [], 0
+            if alone:
+                yield packed(language, [part])
+            else:
+                parts, of, held = [*parts, part], language, held + len(part[3])
+        if parts:
+            yield packed(of, parts)
+
+    def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        rest = None
         for batch in batches:
-            for language, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (language, term):
-                    if key is not None and key[1] != _NO_TERM and documents >= min_documents:
-                        block.append((key[1], merged))
-                        held += len(merged)
-                    elif key is not None and key[1] == _NO_TERM:
-                        yield packed(key[0], [(_NO_TERM, merged)])
-                    if block and (key[0] != language or held > BLOCK_COUNTS):
-                        yield packed(key[0], block)
-                        block, held = [], 0
-                    key, documents, merged = (language, term), 0, {}
-                documents += docs
-                for origin, n in zip(sources, counts):
-                    merged[origin] = merged.get(origin, 0) + n
-        if key is not None:
-            if key[1] == _NO_TERM:
-                yield packed(key[0], [(_NO_TERM, merged)])
-            elif documents >= min_documents:
-                block.append((key[1], merged))
-            if block:
-                yield packed(key[0], block)
-
-    return run
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not rows.num_rows:
+                continue
+            new = _opens(rows)
+            # The last key may go on in the next batch.
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield from _merged(rows.slice(0, last), new[:last], min_documents)
+            rest = rows.slice(last)
+        if rest is not None:
+            yield from _merged(rest, _opens(rest), min_documents)
+
+    return lambda batches: pack(stripes(batches))
 
 
 def _frames(blocks: DataFrame) -> DataFrame:
@@ -167,7 +234,7 @@ def _emit(top_terms: int):
                 if row["terms"][0] == _NO_TERM:
                     continue
                 totals = np.array(row["totals"], dtype=np.int64)
-                columns = np.array([place[s] for s in row["sources"]])
+                columns = np.fromiter(map(place.__getitem__, row["sources"]), np.int64, len(row["sources"]))
                 counts = np.array(row["counts"], dtype=np.int64)
                 ends = np.cumsum(row["sizes"])
                 step = max(1, 1_000_000 // len(names))
@@ -241,8 +308,10 @@ def audit(
     blocks = term_stripes(
         documents, text=text, lang=lang, source=source, min_documents=min_documents, held_entries=held_entries
     )
+    # Stored, so that the planner knows that they are small.
+    frames = store(documents.sparkSession, _frames(blocks), "language-frames")
     emitted = map_batches(
-        blocks.join(_frames(blocks), "lang").select("lang", "terms", "sizes", "sources", "counts", "n_terms", "names", "totals"),
+        blocks.join(frames, "lang").select("lang", "terms", "sizes", "sources", "counts", "n_terms", "names", "totals"),
         _emit(top_terms), "lang string, source string, part string, item binary, value long",
     )
     # A term is in one block; what the blocks add to a pair is summed.
