@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clinote import schemas
 from clinote.operators import ner
 from clinote.sources import readers, sinks
 
@@ -16,7 +17,9 @@ def build_corpus(
     exclude_ids: list[int],
     cap: int | None = None,
 ) -> DataFrame:
-    """Annotated documents of one style, straight from mentions."""
+    """Annotated documents of one style, straight from mentions; ValueError where a column is absent."""
+    schemas.require_columns(mentions, schemas.NOTE_NLP, schemas.MENTION_COLUMNS)
+    schemas.require_columns(concepts, schemas.CONCEPT)
     located = ner.prepare(mentions, exclude_ids=exclude_ids, cap=cap)
     return ner.corpus(ner.first_variants(located), concepts, style)
 

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from clinote import schemas
 from clinote.operators import automaton, context, tagger
 from clinote.sources import sinks
 
 
 def tag_notes(
     notes: DataFrame,
-    lexicon: DataFrame,
+    lexicon: DataFrame | automaton.Automaton,
     *,
     rules: Sequence[tuple[int, str]] = (),
     nlp_datetime: dt.datetime | None = None,
@@ -25,9 +26,17 @@ def tag_notes(
     """Dictionary and rule mentions of the notes as ``note_nlp`` rows.
 
     ``compiled`` looks terms up by an automaton. ``headers`` give mentions their section, ``scoped_cues`` (such as
-    ``context.CUES``) their certainty, status and experiencer by scopes instead of the word window.
+    ``context.CUES``) their certainty, status and experiencer by scopes instead of the word window. ValueError where
+    a frame lacks a column that tagging reads.
     """
-    found = (automaton if compiled else tagger).tag(notes, lexicon, **options)
+    schemas.require_columns(notes, schemas.NOTE, schemas.TEXT_COLUMNS)
+    if isinstance(lexicon, DataFrame):
+        schemas.require_columns(lexicon, schemas.LEXICON, ["concept_id", "term"])
+    missing = {"header", "section_concept_id"} - set(headers.columns if headers is not None else ("header", "section_concept_id"))
+    if missing:
+        raise ValueError("; ".join(f"missing column {name}" for name in sorted(missing)))
+    scan = compiled or not isinstance(lexicon, DataFrame)
+    found = (automaton if scan else tagger).tag(notes, lexicon, **options)
     if rules:
         shared = {k: v for k, v in options.items() if k in ("cues", "cue_window", "cue_stops", "snippet_radius")}
         found = found.unionByName(tagger.tag_rules(notes, rules, **shared))
@@ -39,5 +48,6 @@ def tag_notes(
 
 
 def load_rows(note_nlp: DataFrame) -> DataFrame:
-    """``note_nlp`` rows in the column order of the database insert."""
+    """``note_nlp`` rows in the column order of the database insert; ValueError where one of its columns is absent."""
+    schemas.require_columns(note_nlp, schemas.NOTE_NLP, sorted({source for _, source in sinks.NOTE_NLP_MAPPING}))
     return sinks.map_columns(note_nlp)

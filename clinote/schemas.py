@@ -132,6 +132,11 @@ def require_columns(df: DataFrame, schema: StructType, columns: list[str] | None
     return df
 
 
+#: What the entry points read, by the frame's part.
+TEXT_COLUMNS = ["note_id", "note_text"]
+MENTION_COLUMNS = ["note_nlp_id", "note_id", "snippet", "lexical_variant", "note_nlp_concept_id", "term_modifiers"]
+
+
 def describe(df: DataFrame) -> list[tuple[str, str, bool]]:
     """Column metadata of a frame: name, type, nullable."""
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]

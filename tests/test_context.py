@@ -4,8 +4,8 @@ import re
 import pytest
 from test_tagger import notes
 
-from clinote.operators import context, intervals, tagger
-from clinote.plans import tagging
+from clinote.operators import automaton, context, intervals, tagger
+from clinote.plans import corpus, tagging
 
 TERMS = [(1, "fever"), (2, "pneumonia"), (3, "cough"), (4, "diabetes")]
 
@@ -101,3 +101,20 @@ def test_note_nlp_takes_context_over(spark, lexicon):
     ).collect()
     assert [(r["section_concept_id"], r["term_exists"], r["term_temporal"], r["term_modifiers"]) for r in rows] == [
         (12, "N", "Present", "certainty=Negated,experiencer=Patient,status=Present")]
+
+
+def test_frames_without_their_columns_are_refused(spark, lexicon):
+    """Where tagging, corpora and loads begin, not within a task."""
+    frame = notes(spark, "fever")
+    with pytest.raises(ValueError, match="note_text"):
+        tagging.tag_notes(frame.drop("note_text"), lexicon)
+    with pytest.raises(ValueError, match="term"):
+        tagging.tag_notes(frame, lexicon.drop("term"))
+    with pytest.raises(ValueError, match="header"):
+        tagging.tag_notes(frame, lexicon, headers=lexicon)
+    rows = tagging.tag_notes(frame, automaton.compile_lexicon(lexicon))
+    assert rows.count() == 1
+    with pytest.raises(ValueError, match="snippet"):
+        tagging.load_rows(rows.drop("snippet"))
+    with pytest.raises(ValueError, match="term_modifiers"):
+        corpus.build_corpus(rows.drop("term_modifiers"), lexicon, "label_term_usage", exclude_ids=[])

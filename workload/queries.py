@@ -715,7 +715,10 @@ def _tagged_nlp(spark, sf):
 
 @query
 def tagged_performance(spark, sf):
-    tables = replace(fx.comparison(spark, sf), mentions=_tagged_nlp(spark, sf))
+    """Figures without ids: mentions keep their hashed ones, and are stored once."""
+    known = fx.notes(spark, sf).select("note_id").distinct()
+    rows = tagger.to_note_nlp(_tagged(spark, sf).join(known, "note_id", "left_semi"), nlp_datetime=NLP_TIME)
+    tables = replace(fx.comparison(spark, sf), mentions=store(spark, rows, "tagged"))
     return comparison.performance(tables, fx.PAIRS, reviewed_before())
 
 
