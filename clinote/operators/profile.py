@@ -108,10 +108,21 @@ def by_class_and_concept(
     )
 
 
+def with_encounter(mentions: DataFrame, notes: DataFrame) -> DataFrame:
+    """Mentions with the ``encounter_number`` of their note, to be stored by it; mentions of unknown notes go."""
+    numbers = notes.select("note_id", F.col("visit_occurrence_id").alias("encounter_number"))
+    return mentions.join(numbers, "note_id")
+
+
 def drill_down(
     notes: DataFrame, mentions: DataFrame, concepts: DataFrame, *, encounter_number: int, concept_name: str
 ) -> DataFrame:
-    """All mentions of one concept in the notes of one encounter, with both names."""
+    """All mentions of one concept in the notes of one encounter, with both names.
+
+    Mentions ``with_encounter`` are filtered by it in their scan, which skips what a clustered table holds of others.
+    """
+    if "encounter_number" in mentions.columns:
+        mentions = mentions.filter(F.col("encounter_number") == encounter_number).drop("encounter_number")
     wanted_notes = notes.filter(F.col("visit_occurrence_id") == encounter_number)
     wanted_concept = _mention_names(concepts).filter(F.col("note_nlp_concept_name") == concept_name)
     return (

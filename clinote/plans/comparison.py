@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clinote import schemas
 from clinote.functions.text import NEGATED, POSITIVE
 from clinote.operators import cohort, crosswalk, evaluate, features, review
+from clinote.session import store_counted
 
 # Note classes compared with the review and the review's date bound.
 COMPARED_CLASSES = ["Emergency medicine", "Admission evaluation"]
@@ -110,3 +111,21 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     if report is None:
         raise ValueError("no stages given")
     return report
+
+
+class CountedStages:
+    """Stages that are stored one after the other, and the rows of each as its write saw them: no stage is run twice."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.counts: dict[str, int] = {}
+
+    def store(self, name: str, df: DataFrame, parts: dict[str, Column] | None = None) -> DataFrame:
+        """The stored frame; ``parts`` names conditions whose rows are counted in the same write."""
+        stored, counts = store_counted(self.spark, df, name, parts)
+        self.counts.update(counts)
+        return stored
+
+    def report(self) -> DataFrame:
+        """``stage, n_rows``."""
+        return self.spark.createDataFrame(list(self.counts.items()), "stage string, n_rows long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app_name: str = "clinote", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,3 +50,19 @@ def store(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def store_counted(
+    spark: SparkSession, df: DataFrame, name: str, parts: dict[str, Column] | None = None
+) -> tuple[DataFrame, dict[str, int]]:
+    """``store``, and the rows that the write saw: all of them under ``name``, those of each condition under its name.
+
+    The counts stand on top of what is written, thus in the last stage: its tasks count once even where one is
+    repeated after the loss of an executor, which does not hold for a stage before a shuffle.
+    """
+    seen = Observation()
+    counts = {name: F.count(F.lit(1))} | {part: F.count_if(condition) for part, condition in (parts or {}).items()}
+    watched = df.observe(seen, *[count.alias(f"c{i}") for i, count in enumerate(counts.values())])
+    stored = store(spark, watched, name.replace(" ", "-"))
+    found = seen.get
+    return stored, {stage: int(found.get(f"c{i}") or 0) for i, stage in enumerate(counts)}

@@ -15,6 +15,7 @@ STORING = {
     "record_batches", "concept_counts_with_unmatched", "reviewed_concepts", "concept_lists", "concept_one_hot",
     "concepts_without_column", "stage_counts", "note_nlp", "tagged_performance", "tagged_corpus",
     "false_positive_examples", "false_negative_examples", "continuing_ids", "exact_group_split",
+    "written_stage_counts",
 }
 # The automaton and the rule tokenizer are Arrow functions on partitions; all else is expressions.
 IN_ARROW = {"tag_wide_terms_compiled", "tag_longest_terms", "note_nlp_in_context", "rule_tokens"}

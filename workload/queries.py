@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from clinote import schemas
 from clinote.functions.text import NEGATED, POSITIVE, spreadsheet_safe
 from clinote.operators import (
-    annotate, automaton, cohort, context, crosswalk, errors, evaluate, features, ingest, ner, profile, review, splits,
-    tagger,
+    annotate, automaton, cohort, context, crosswalk, errors, evaluate, features, ingest, ner, profile, review, sketches,
+    splits, tagger,
 )
 from clinote.plans import comparison, corpus as corpus_plan, tagging
 from clinote.session import scratch_path, store
-from clinote.sources import readers, registry, sinks
+from clinote.sources import layout, readers, registry, sinks
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,8 +225,59 @@ def visit_concept_drilldown(spark, sf):
     )
 
 
+@query
+def clustered_drilldown(spark, sf):
+    """The same from mentions that are stored by encounter, of which the scan skips the others."""
+    path = scratch_path(spark, "mentions-by-encounter")
+    mentions = profile.with_encounter(fx.mentions(spark, sf), fx.notes(spark, sf))
+    layout.write_clustered(mentions, path, ["encounter_number", "note_id"], bloom={"note_id": 100_000})
+    return profile.drill_down(
+        fx.notes(spark, sf), readers.read_table(spark, path, schema=mentions.schema), fx.concepts(spark),
+        encounter_number=DRILL_ENCOUNTER, concept_name="Connective",
+    ).select(
+        "note_id", "person_id", "visit_occurrence_id", "note_class_concept_name",
+        "note_nlp_id", "lexical_variant", "term_modifiers", "note_nlp_concept_id", "note_nlp_concept_name",
+    )
+
+
 # Profiles
 
+@query
+def bucketed_coverage(spark, sf):
+    """Coverage from notes and mentions that are stored in buckets of the note."""
+    stored = []
+    for name, df in [("notes", fx.notes(spark, sf)), ("mentions", fx.mentions(spark, sf))]:
+        path = scratch_path(spark, f"bucketed-{name}")
+        layout.write_bucketed(df, path, "note_id", 8)
+        stored.append(layout.read_bucketed(spark, path, df.schema))
+    return profile.match_coverage(*stored, fx.concepts(spark))
+
+
+@query
+def merged_profile(spark, sf):
+    """Notes per class from stored months, two of which are refreshed; estimates beside the exact distinct counts."""
+    notes, path = fx.notes(spark, sf), scratch_path(spark, "profile")
+    sketches.refresh(notes, path, unit="month")
+    sketches.refresh(notes, path, unit="month", periods=[dt.date(1995, 3, 1), dt.date(1997, 11, 1)])
+    merged = sketches.merge(sketches.read(spark, path), sketches.CLASS)
+    estimates = merged.select(sketches.CLASS, "n_notes", F.col("n_visits").alias("visits"), F.col("n").alias("persons"))
+    exact = profile.by_class(notes, fx.concepts(spark)).drop("n_r")
+    return exact.join(estimates, sketches.CLASS).select(
+        F.col("n_notes").alias("n_r"), "n_visits", "n", "note_class_concept_name",
+        sketches.within(F.col("visits"), F.col("n_visits")).alias("visits_within_bound"),
+        sketches.within(F.col("persons"), F.col("n")).alias("persons_within_bound"),
+    )
+
+
+@query
+def merged_concepts(spark, sf):
+    """Mentions and matched notes per class and concept from stored months."""
+    path = scratch_path(spark, "profile")
+    sketches.refresh(fx.notes(spark, sf), path, fx.mentions(spark, sf), unit="month")
+    merged = sketches.merge(sketches.read(spark, path), sketches.CLASS, sketches.CONCEPT)
+    return merged.select(sketches.CLASS, sketches.CONCEPT, "n_r", "n_notes")
+
+
 @query
 def note_totals(spark, sf):
     return profile.totals(fx.notes(spark, sf))
@@ -425,6 +476,32 @@ def stage_counts(spark, sf):
     })
 
 
+@query
+def written_stage_counts(spark, sf):
+    """The same stages stored one by one, each counted by its write."""
+    tables, stages = fx.comparison(spark, sf), comparison.CountedStages(spark)
+    in_classes = F.col("note_class_concept_name").isin(comparison.COMPARED_CLASSES)
+    everything = stages.store(
+        "positive crosswalk", comparison.build_crosswalk(tables, POSITIVE), {"positive crosswalk in classes": in_classes}
+    )
+    stages.store(
+        "negated crosswalk", comparison.build_crosswalk(tables, NEGATED), {"negated crosswalk in classes": in_classes}
+    )
+    positive = everything.filter(in_classes)
+    stages.store("visits", crosswalk.visit_core(positive))
+    reviews = stages.store("chart reviews", comparison.eligible_reviews(tables, reviewed_before()))
+    keyed = reviews.withColumn("encounter_number", F.col("encounter_number").try_cast("bigint"))
+    counts = stages.store("concept rows", features.concept_counts(positive))
+    rows = features.with_unmatched(counts, features.unmatched_classes(positive))
+    rows = stages.store("concept rows before review", rows)
+    stages.store("concept rows after review", features.reviewed_concepts(rows, keyed))
+    stages.store("snippets", ner.snippet_groups(_located(spark, sf)))
+    keys = store(spark, _corpus(spark, sf, ner.POSITIVE_CONCEPTS).select("sha1"), "corpus-keys")
+    train, test = (F.col("split") == side for side in ("train", "test"))
+    stages.store("documents", ner.split(keys), {"training documents": train, "test documents": test})
+    return stages.report().filter("stage <> 'documents'")
+
+
 # Tagging
 
 def _tagged(spark, sf):
