@@ -191,8 +191,29 @@ def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     return made.select(key, "digests", table(F.col("digests"), BLOCKS[0]).alias("cells"))
 
 
-#: Keys of a bucket follow each other; buckets of a group are chained next, then groups.
-_BUCKET_BITS, _GROUP_BITS = 6, 12
+#: Keys of a bucket share all but their last bits; a level's groups share all but some more of them, up to the top,
+#: which has at most a thousand.
+_BUCKET_BITS, _GROUP_BITS, _LEVELS = 6, 12, 4
+
+
+def _chained(tops: DataFrame) -> DataFrame:
+    """``bucket, before``: the largest key before each bucket; before the first one, the largest of all.
+
+    ``tops`` has the largest key of each ``bucket``. A bucket asks its predecessor in its group, and the first of a group
+    the predecessor of the group, level by level. So a window holds at most 2^12 rows, however the keys lie.
+    """
+    levels = [tops.select(F.col("bucket").alias("id"), "top")]
+    for _ in range(_LEVELS):
+        levels.append(levels[-1].groupBy(F.shiftright("id", _GROUP_BITS).alias("id")).agg(F.max("top").alias("top")))
+    before = levels[-1].select("id", F.coalesce(
+        F.lag("top").over(Window.orderBy("id")), F.max("top").over(Window.partitionBy())
+    ).alias("before"))
+    for level in reversed(levels[:-1]):
+        inside = F.lag("top").over(Window.partitionBy("group").orderBy("id"))
+        placed = level.withColumn("group", F.shiftright("id", _GROUP_BITS)).withColumn("inside", inside)
+        outside = before.select(F.col("id").alias("group"), F.col("before").alias("outside"))
+        before = placed.join(outside, "group").select("id", F.coalesce("inside", "outside").alias("before"))
+    return before.withColumnRenamed("id", "bucket")
 
 
 def with_next(df: DataFrame, key: str, column: str, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -202,20 +223,13 @@ def with_next(df: DataFrame, key: str, column: str, made: Callable[[DataFrame],
     What ``made`` adds to a frame with ``value``, the column, comes along, as its own column
     and as ``next_`` for the next row.
 
-    Rows are ordered within buckets of neighbouring keys. A bucket also gets the row that
-    precedes it, found by chaining the buckets' largest keys: those of all groups of
-    buckets pass through one task, one for each 262,144 keys in a row.
+    Keys are integers. Rows are ordered within buckets of neighbouring keys. A bucket also gets the row that
+    precedes it, found by chaining the buckets' largest keys; where keys are sparse, that is a row for each.
     """
     rows = df.select(F.col(key).alias("key"), F.col(column).alias("value")).filter(F.col("key").isNotNull())
     rows = rows.withColumn("bucket", F.shiftright("key", _BUCKET_BITS))
-    tops = rows.groupBy("bucket").agg(F.max("key").alias("top")).withColumn("group", F.shiftright("bucket", _GROUP_BITS))
-    groups = tops.groupBy("group").agg(F.max("top").alias("top"))
-    chained = groups.select("group", F.coalesce(
-        F.lag("top").over(Window.orderBy("group")),
-        F.max("top").over(Window.partitionBy()),
-    ).alias("before_group"))
-    before = F.coalesce(F.lag("top").over(Window.partitionBy("group").orderBy("bucket")), F.col("before_group"))
-    guests = tops.join(chained, "group").select(F.col("bucket").alias("to"), before.alias("top"))
+    tops = rows.groupBy("bucket").agg(F.max("key").alias("top"))
+    guests = _chained(tops).select(F.col("bucket").alias("to"), F.col("before").alias("top"))
     guests = guests.withColumn("from", F.shiftright("top", _BUCKET_BITS))
     # Text is shuffled once, for both branches; of it, only the largest key of each bucket goes on to the next.
     # (Stated for both, as the join would add it to its own branch and keep the shuffle from being shared.)

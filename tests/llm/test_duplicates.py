@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from clinote.llm import components, iblt_fingerprint, jaccard_join, queries, template_decontamination, words
 
@@ -162,6 +163,30 @@ def test_fingerprints_of_odd_rows(spark):
     assert alone["near_next"] == 1.0
 
 
+def test_every_text_meets_the_one_of_the_next_smaller_key(spark):
+    """Dense, sparse and clustered keys up to the ends of their type."""
+    rng = random.Random(5)
+    keys = {-2**63, -2**63 + 1, 2**63 - 1, 2**62, -1, 0, 1, *range(10**6, 10**6 + 9000, 3), *range(2**40, 2**40 + 200)}
+    keys |= {rng.getrandbits(64) - 2**63 for _ in range(3000)} | {rng.getrandbits(30) for _ in range(500)}
+    ordered = sorted(keys, reverse=True)
+    df = spark.createDataFrame([(k, f"t{k}") for k in keys], "doc_id long, text string")
+    found = iblt_fingerprint.with_next(df, "doc_id", "text").select("doc_id", "text", "next", "bucket", "place").collect()
+    assert {r["doc_id"]: r["next"] for r in found} == {k: f"t{n}" for k, n in zip(ordered, ordered[1:] + ordered[:1])}
+    assert len(found) == len(keys) == len({(r["bucket"], r["place"]) for r in found})
+    assert all(r["text"] == f"t{r['doc_id']}" for r in found)
+
+
+def test_no_window_holds_all_sparse_keys(spark):
+    """The last level of the chain has a thousand groups at most."""
+    tops = spark.range(50_000).select(F.shiftright(F.xxhash64("id"), 6).alias("bucket"), F.xxhash64("id").alias("top"))
+    groups = tops.select(F.shiftright("bucket", iblt_fingerprint._GROUP_BITS * iblt_fingerprint._LEVELS)).distinct()
+    assert groups.count() <= 1024
+    chained = {r["bucket"]: r["before"] for r in iblt_fingerprint._chained(tops).collect()}
+    ordered = sorted((r["bucket"], r["top"]) for r in tops.collect())
+    wanted = {b: t for (b, _), (_, t) in zip(ordered[1:] + ordered[:1], ordered)}
+    assert chained == wanted
+
+
 # Decontamination
 
 ITEM = "Ann has 40 apples and gives 7 lb of them to Joe before Ann walks 9 km to the old market."
