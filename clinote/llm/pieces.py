@@ -59,7 +59,7 @@ class PieceStore:
 
     def _of(self, pieces: pa.Array) -> np.ndarray:
         coded = pc.dictionary_encode(pieces)
-        return self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        return self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def group_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ have bounded sizes, so their number grows with the data.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,13 +35,21 @@ from clinote.llm.workers import map_batches, slices
 #: A private-use character that parts pieces within one call of the library.
 _PART = ""
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Marks that may close a piece; with the apostrophe or ``<``, ``|``, ``>`` they could belong to what stands before.
+_MARKS = ".,!?;:%&#$@*"
+#: Letters and digits, Latin and Cyrillic, that stay one letter or digit when normalised and lower-cased.
+_FIRM = frozenset(
+    c for c in map(chr, [*range(0x250), *range(0x400, 0x460)])
+    if c.isalnum() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c.lower()) == c.lower()
+)
 
 
 class LibraryEncoder:
     """Ids as the tokenizers library gives them for whole texts of a word-level vocabulary.
 
     The vocabulary drops white space, so the ids of a text are those of its pieces between
-    blanks and line ends; distinct pieces go through the library once, many in a call.
+    blanks and line ends. It lower-cases, and parts marks from letters and digits, so a
+    piece is its word and the marks behind it. Distinct parts go through the library once, many in a call.
     """
 
     def __init__(self, path: str, max_known: int = 1_000_000):
@@ -51,10 +60,24 @@ class LibraryEncoder:
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
         self._parting = np.array(self._ids(_PART), dtype=np.int32)
-        self._store = PieceStore(self._encode, max_known)
+        self._parts = PieceStore(self._encode, max_known)
+        self._store = PieceStore(self._encode_parts, max_known)
 
     def _ids(self, text: str) -> list[int]:
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+        return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encode_parts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, sizes = [], np.ones(len(pieces), dtype=np.int64)
+        for i, piece in enumerate(pieces):
+            word = piece.rstrip(_MARKS)
+            cut = len(word) < len(piece) and word and word[-1] in _FIRM
+            first = word if cut else piece
+            parts.append(first.lower() if first.isascii() and "<" not in first else first)
+            if cut:
+                parts.append(piece[len(word):])
+                sizes[i] = 2
+        flat, counts = self._parts.values(pa.array(parts, pa.string()))
+        return flat, group_sums(counts, sizes)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [p if _PART not in p else "" for p in pieces]

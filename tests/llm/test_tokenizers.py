@@ -104,6 +104,20 @@ def test_library_encoder_is_the_library(texts):
         assert ours == [e.ids for e in theirs.encode_batch(batch, add_special_tokens=False)]
 
 
+def test_closing_marks_are_parted_only_where_the_library_parts_them():
+    """Behind marks that combine, letters that fall apart, other symbols and special strings they stay."""
+    draw = random.Random(5)
+    bits = [
+        "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", ".", ",", "%", "&&", "*", "#", "'", "'s", "'S", "=", "…", "_", " ",
+        "\n", "\xa0", "\x00", "a", "B", "9", "²", "½", "ß", "é", "e\u0301", "\u0301", "\u0338", "İ", "\u0958", "\u0915",
+        "Я", "Й", "ΑΣ", "ǅ", "ŉ", "\u2126", "\u212a", "中文", "가", "\u0345", "😀", "\u200b", "don't", "endoftext",
+    ]
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 14))) for _ in range(20_000)]
+    library = Tokenizer.from_file(WORD)
+    ours = split(*token_archive.LibraryEncoder(WORD).encode(pa.array(texts)))
+    assert ours == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=200))
 def test_perfect_hash_is_minimal(keys):
