@@ -78,3 +78,32 @@ def test_a_long_text_and_a_long_chunk(spark):
     df = spark.createDataFrame([(1, "(a)" * 20_000), (2, "5mg, " * 50_000)], "id long, text string")
     sizes = {r["id"]: r["n"] for r in tokenizer.with_rule_tokens(df).select("id", F.size("tokens").alias("n")).collect()}
     assert sizes[2] == 150_000 and sizes[1] >= 3
+
+
+def test_tokens_of_many_texts_take_little_memory():
+    """Offsets are flat numbers and leave in parts: an object per token would take some 250 bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Frame:
+        columns = ["id", "text"]
+        schema = type("Schema", (), {"fields": []})
+
+        def select(self, *_):
+            return self
+
+    texts = ["fever, cough (no rash). " * 100, None, ""] * 700
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokenizer, "map_arrow", lambda rows, run, schema: run)
+        run = tokenizer.with_rule_tokens(Frame(), "text")
+    tracemalloc.start()
+    n_rows = n_tokens = n_null = 0
+    for made in run(iter([batch])):
+        tokens = made.column(2)
+        n_rows, n_null, n_tokens = n_rows + len(tokens), n_null + tokens.null_count, n_tokens + len(tokens.flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n_rows, n_null, n_tokens) == (2100, 700, 700 * 800)
+    assert peak < 20 << 20
