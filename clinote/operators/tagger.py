@@ -89,14 +89,43 @@ def _chunks(notes: DataFrame) -> DataFrame:
     )
 
 
-def _words(chunks: DataFrame) -> DataFrame:
-    """One row per word of a chunk, lower case.
+def _with_words(chunks: DataFrame) -> DataFrame:
+    """Adds the ``words`` of the body in lower case, and ``tiles``, each word as it stands with the gap before it."""
+    return chunks.select(
+        "*", _find_all(F.lower("body"), WORD + "+").alias("words"), _find_all("body", _GAP_AND_WORD).alias("tiles")
+    )
+
+
+def _sent_around(terms: DataFrame) -> bool:
+    """Whether the planner broadcasts the terms: a left join can be broadcast on the right side only."""
+    word = terms.sparkSession.range(1).select(F.col("id").cast("string").alias("token"))
+    plan = word.join(terms, "token", "left")._jdf.queryExecution().executedPlan().toString()
+    return "BroadcastHashJoin" in plan
+
+
+def _candidates(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """Chunks with their words, a row for every term at every word that it begins with: ``word_no`` and the term.
+
+    Terms that are sent around meet the words where the text was read. Terms that are not meet the distinct words of a
+    chunk under its hash, and come to the chunk with it, so that a chunk is shuffled once and not once for each of its
+    words. The words are then looked up in the chunk, so chunks that share a hash are told apart; chunks that are equal
+    have the terms of all their copies, of which one is kept.
 
     The outer form of the explode keeps Catalyst from adding a not-empty filter that would
     cut the chunk into words again; the null row of a wordless chunk matches no term.
     """
-    words = _find_all(F.lower("body"), WORD + "+")
-    return chunks.select("*", F.posexplode_outer(words).alias("word_no", "token"))
+    if chunks.isStreaming or _sent_around(terms):
+        words = _with_words(chunks)
+        return words.select("*", F.posexplode_outer("words").alias("word_no", "token")).join(terms, "token")
+    keyed = chunks.withColumn("chunk", F.xxhash64("note_id", "chunk_start", "before", "body", "after"))
+    distinct = F.array_distinct(_find_all(F.lower("body"), WORD + "+"))
+    met = keyed.select("chunk", F.explode_outer(distinct).alias("token")).join(terms, "token")
+    # What is cut from a chunk is cut behind its shuffle, once, and before the join.
+    cut = _with_words(keyed.repartition("chunk"))
+    numbers = F.sequence(F.lit(0), F.size("words") - 1)
+    places = F.filter(numbers, lambda n: F.get("words", n) == F.col("token"))
+    found = cut.join(met.repartition("chunk").distinct(), "chunk")
+    return found.select("*", F.explode_outer(places).alias("word_no")).filter(F.col("word_no").isNotNull())
 
 
 def _loose(text: Column) -> Column:
@@ -171,36 +200,35 @@ def tag(
     """
     if max(cue_window, snippet_radius // 2) > CHUNK_WORDS:
         raise ValueError(f"context is limited to {CHUNK_WORDS} words and {2 * CHUNK_WORDS} characters")
-    found = _words(_chunks(notes)).join(_terms(lexicon), "token")
-    # From here on the work is per match, not per word.
+    found = _candidates(_chunks(notes), _terms(lexicon))
+    # From here on the work is per match, not per word; only a term that runs on behind its chunk is sought by a pattern.
     word_no, n_words = F.col("word_no"), F.col("n_words")
-    tiles = _find_all("body", _GAP_AND_WORD)
-    reached = compute_once(found, {"here": F.concat(
-        F.array_join(F.slice(tiles, F.lit(1), word_no), ""),
-        F.regexp_extract(F.get(tiles, word_no), f"^{GAP}*", 0),
-    )})
-    onwards = F.substring(F.concat("body", "after"), F.length("here") + 1, F.length("body") + F.length("after"))
-    several_words = F.array_join(F.slice(_find_all(onwards, _GAP_AND_WORD), F.lit(1), n_words), "")
-    core = F.when(n_words == 1, F.regexp_extract(onwards, f"^{WORD}+", 0)).otherwise(several_words)
-    placed = compute_once(reached, {"core": core}).filter((n_words == 1) | (_loose(F.col("core")) == F.col("loose_term")))
+    tile = F.get("tiles", word_no)
+    gap = F.length(tile) - F.length(F.regexp_extract(tile, f"{WORD}+", 0))
+    here = F.length(F.array_join(F.slice("tiles", F.lit(1), word_no), "")) + gap
+    inside = F.substring(F.array_join(F.slice("tiles", word_no + 1, n_words), ""), gap + 1, F.length("body"))
+    onwards = F.substring(F.concat("body", "after"), here + 1, F.length("body") + F.length("after"))
+    behind = F.array_join(F.slice(_find_all(onwards, _GAP_AND_WORD), F.lit(1), n_words), "")
+    core = F.when(word_no + n_words <= F.size("tiles"), inside).otherwise(behind)
+    placed = compute_once(found, {"here": here, "core": core}).filter(
+        (n_words == 1) | (_loose(F.col("core")) == F.col("loose_term"))
+    )
     whole = F.concat("before", "body", "after")
-    start = F.length("before") + F.length("here") - F.length("lead")
+    start = F.length("before") + F.col("here") - F.length("lead")
     length = F.length("lead") + F.length("core") + F.length("tail")
-    cut = compute_once(placed, {
-        "prefix": F.substring(whole, F.lit(1), start),
-        "lexical_variant": F.substring(whole, start + 1, length),
-        "suffix": F.substring(whole, start + length + 1, F.lit(snippet_radius)),
-    })
+    cut = compute_once(placed, {"at": start, "lexical_variant": F.substring(whole, start + 1, length)})
     # The text around the words must be the term's own symbols.
     symbols = F.startswith(F.col("lexical_variant"), F.col("lead")) & F.endswith(F.col("lexical_variant"), F.col("tail"))
+    prefix = F.substring(whole, F.lit(1), F.col("at"))
+    suffix = F.substring(whole, F.col("at") + length + 1, F.lit(snippet_radius))
     return cut.filter(symbols).select(
         "note_id",
         "concept_id",
         "term",
-        (F.col("chunk_start") - F.length("before") + F.length("prefix")).alias("start"),
+        (F.col("chunk_start") - F.length("before") + F.greatest(F.col("at"), F.lit(0))).alias("start"),
         "lexical_variant",
-        _certainty(F.col("prefix"), cues, cue_window, cue_stops).alias("certainty"),
-        _snippet(F.col("prefix"), F.col("suffix"), snippet_radius).alias("snippet"),
+        _certainty(prefix, cues, cue_window, cue_stops).alias("certainty"),
+        _snippet(prefix, suffix, snippet_radius).alias("snippet"),
     )
 
 

@@ -147,3 +147,29 @@ def test_note_nlp_form(spark, lexicon):
     assert {r[0] for r in frame.select("note_nlp_id").collect()} == {r[0] for r in again.select("note_nlp_id").collect()}
     first = frame.filter(F.col("offset") == "3").first()
     assert (first["term_modifiers"], first["term_exists"]) == ("certainty=Negated,experiencer=Patient", "N")
+
+
+def test_no_word_carries_text_through_a_shuffle(spark, lexicon):
+    """A lexicon that is not sent around meets distinct words under a chunk's hash; each chunk is shuffled once."""
+    found = tagger.tag(notes(spark, NOTE), lexicon.hint("merge")).select("note_id", "start")
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    formatted = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    exchanged = re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", formatted)
+    with_text = [columns for columns in exchanged if "body" in columns]
+    assert "BroadcastHashJoin" not in physical
+    assert len(with_text) == 1 and "chunk_start" in with_text[0] and "token" not in with_text[0]
+    assert "words" not in with_text[0] and "tiles" not in with_text[0]
+
+
+@pytest.mark.parametrize("hint", ["broadcast", "merge"])
+def test_null_and_shared_ids_chunk_ends_and_forms_of_lower_case(spark, rows, hint):
+    terms = spark.createDataFrame([(1, "fever"), (2, "fever now here"), (3, "ΟΔΟΣ"), (4, "(a")], "concept_id int, term string")
+    ends = "w " * 62 + "fever now here; fever"
+    texts = [(None, "fever"), (None, "fever"), (1, "a fever"), (1, "no fever"), (2, ends), (3, "ΟΔΟΣ ΟΔΟΣ'Α"), (4, "a (a"), (5, "..."), (6, None)]
+    df = spark.createDataFrame(texts, "note_id long, note_text string")
+    found = tagger.tag(df, terms.hint(hint))
+    assert rows(found, "note_id", "start", "concept_id", "lexical_variant") == sorted([
+        (None, 0, 1, "fever"), (None, 0, 1, "fever"), (1, 2, 1, "fever"), (1, 3, 1, "fever"),
+        (2, 124, 1, "fever"), (2, 124, 2, "fever now here"), (2, 140, 1, "fever"),
+        (3, 0, 3, "ΟΔΟΣ"), (4, 2, 4, "(a"),
+    ], key=repr)
