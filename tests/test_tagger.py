@@ -161,6 +161,13 @@ def test_no_word_carries_text_through_a_shuffle(spark, lexicon):
     assert "words" not in with_text[0] and "tiles" not in with_text[0]
 
 
+def test_patterns_run_once_for_a_chunk(spark, lexicon):
+    """What cuts a chunk into words stands below the join, so it does not run again for each match."""
+    plan = tagger.tag(notes(spark, NOTE), lexicon.hint("broadcast"))._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("BroadcastHashJoin", 1)
+    assert "AS tiles" in below and "AS tiles" not in above
+
+
 @pytest.mark.parametrize("hint", ["broadcast", "merge"])
 def test_null_and_shared_ids_chunk_ends_and_forms_of_lower_case(spark, rows, hint):
     terms = spark.createDataFrame([(1, "fever"), (2, "fever now here"), (3, "ΟΔΟΣ"), (4, "(a")], "concept_id int, term string")
