@@ -30,8 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clinote.llm.pieces import PieceStore, group_sums
+from clinote.llm.tables import ranges
 from clinote.llm.workers import map_batches, slices
 
+#: Text that is cut and encoded at a time.
+_CALL_BYTES = 2 << 20
 #: A private-use character that parts pieces within one call of the library.
 _PART = ""
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -49,10 +52,11 @@ class LibraryEncoder:
 
     The vocabulary drops white space, so the ids of a text are those of its pieces between
     blanks and line ends. It lower-cases, and parts marks from letters and digits, so a
-    piece is its word and the marks behind it. Distinct parts go through the library once, many in a call.
+    piece is its word and the marks behind it. Distinct parts go through the library once, many in a call;
+    ``max_known`` of them are remembered.
     """
 
-    def __init__(self, path: str, max_known: int = 1_000_000):
+    def __init__(self, path: str, max_known: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,23 +65,29 @@ class LibraryEncoder:
             raise ValueError("ids do not fit into 16 bits")
         self._parting = np.array(self._ids(_PART), dtype=np.int32)
         self._parts = PieceStore(self._encode, max_known)
-        self._store = PieceStore(self._encode_parts, max_known)
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _encode_parts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts, sizes = [], np.ones(len(pieces), dtype=np.int64)
-        for i, piece in enumerate(pieces):
-            word = piece.rstrip(_MARKS)
-            cut = len(word) < len(piece) and word and word[-1] in _FIRM
-            first = word if cut else piece
-            parts.append(first.lower() if first.isascii() and "<" not in first else first)
-            if cut:
-                parts.append(piece[len(word):])
-                sizes[i] = 2
-        flat, counts = self._parts.values(pa.array(parts, pa.string()))
-        return flat, group_sums(counts, sizes)
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.utf8_rtrim(pieces, characters=_MARKS)
+        firm = pc.is_in(pc.utf8_slice_codeunits(words, start=-1), value_set=pa.array(sorted(_FIRM), pieces.type))
+        cut = pc.and_(pc.not_equal(words, pieces), firm)
+        first = pc.if_else(cut, words, pieces)
+        plain = pc.and_not(pc.string_is_ascii(first), pc.match_substring(first, "<"))
+        first = pc.if_else(plain, pc.ascii_lower(first), first)
+        cut_pairs = zip(pieces.filter(cut).to_pylist(), words.filter(cut).to_pylist())
+        marks = pa.array([piece[len(word):] for piece, word in cut_pairs], pieces.type)
+        flat, counts = self._parts.values(pa.concat_arrays([first, marks]))
+        # Marks go behind their words.
+        cuts = cut.to_numpy(zero_copy_only=False)
+        sizes = 1 + cuts.astype(np.int64)
+        ends = np.cumsum(sizes)
+        order = np.empty(len(counts), dtype=np.int64)
+        order[ends - sizes] = np.arange(len(pieces))
+        order[ends[cuts] - 1] = len(pieces) + np.arange(len(marks))
+        starts = np.cumsum(counts) - counts
+        return flat[ranges(starts[order], counts[order])], group_sums(counts[order], sizes)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [p if _PART not in p else "" for p in pieces]
@@ -108,8 +118,11 @@ class LibraryEncoder:
         """Ids of all texts one after the other, and their number for each text; null is empty."""
         plain = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         split = pc.split_pattern(plain, " ")
-        flat, counts = self._store.values(split.values)
-        return flat, group_sums(counts, np.diff(split.offsets.to_numpy()))
+        coded = pc.dictionary_encode(split.values)
+        flat, counts = self._encode_pieces(coded.dictionary)
+        places = coded.indices.to_numpy(zero_copy_only=False)
+        starts, counts = (np.cumsum(counts) - counts)[places], counts[places]
+        return flat[ranges(starts, counts)], group_sums(counts, np.diff(split.offsets.to_numpy()))
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -219,7 +232,8 @@ def write(
             batch, keys, before = batch.filter(pa.array(first)), keys[first], keys[-1]
             if not len(keys):
                 continue
-            flat, counts = coder.encode(batch.column(1))
+            made = [coder.encode(part.column(1)) for part in slices([batch], "text", _CALL_BYTES)]
+            flat, counts = (np.concatenate(values) for values in zip(*made))
             ends = np.cumsum(counts + 1)
             ids = np.insert(flat, ends - 1 - np.arange(len(counts)), end_id).astype("<u2")
             yield pa.RecordBatch.from_arrays(

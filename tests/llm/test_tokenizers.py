@@ -118,6 +118,19 @@ def test_closing_marks_are_parted_only_where_the_library_parts_them():
     assert ours == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_word_is_remembered_once():
+    """Not a second time with the marks behind it: a worker's memory is mostly the words it has met."""
+    import tracemalloc
+
+    texts = pa.array([" ".join(f"w{n}." for n in range(first, first + 1000)) for first in range(0, 100_000, 1000)])
+    coder = token_archive.LibraryEncoder(WORD)
+    tracemalloc.start()
+    coder.encode(texts)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 22_000_000
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=200))
 def test_perfect_hash_is_minimal(keys):
