@@ -122,10 +122,9 @@ def _candidates(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     met = keyed.select("chunk", F.explode_outer(distinct).alias("token")).join(terms, "token")
     # What is cut from a chunk is cut behind its shuffle, once, and before the join.
     cut = _with_words(keyed.repartition("chunk"))
-    numbers = F.sequence(F.lit(0), F.size("words") - 1)
-    places = F.filter(numbers, lambda n: F.get("words", n) == F.col("token"))
     found = cut.join(met.repartition("chunk").distinct(), "chunk")
-    return found.select("*", F.explode_outer(places).alias("word_no")).filter(F.col("word_no").isNotNull())
+    # Compared row by row: a function over the array would be interpreted, and with it all that stands above the join.
+    return found.select("*", F.posexplode_outer("words").alias("word_no", "word")).filter(F.col("word") == F.col("token"))
 
 
 def _loose(text: Column) -> Column:

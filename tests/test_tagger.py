@@ -168,6 +168,13 @@ def test_patterns_run_once_for_a_chunk(spark, lexicon):
     assert "AS tiles" in below and "AS tiles" not in above
 
 
+def test_places_of_a_term_are_compared_in_compiled_code(spark, lexicon):
+    """A lexicon that is not sent around: no function over arrays stands above the join, as it would be interpreted."""
+    plan = tagger.tag(notes(spark, NOTE), lexicon.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("SortMergeJoin", 1)
+    assert "lambdafunction" not in above and "posexplode" in above and "AS words" in below
+
+
 @pytest.mark.parametrize("hint", ["broadcast", "merge"])
 def test_null_and_shared_ids_chunk_ends_and_forms_of_lower_case(spark, rows, hint):
     terms = spark.createDataFrame([(1, "fever"), (2, "fever now here"), (3, "ΟΔΟΣ"), (4, "(a")], "concept_id int, term string")
