@@ -220,6 +220,5 @@ def split_by_group(
 def with_tokens(corpus_rows: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Add ``tokens``, the texts of the tokens in order."""
     if rules is not None:
-        cut = F.transform("tokens", lambda t: F.substring("text", t["start"] + 1, t["end"] - t["start"]))
-        return with_rule_tokens(corpus_rows, "text", rules).withColumn("tokens", cut)
+        return with_rule_tokens(corpus_rows, "text", rules, as_texts=True)
     return corpus_rows.withColumn("tokens", text.tokens(F.col("text")))

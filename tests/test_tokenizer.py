@@ -1,5 +1,8 @@
+import hashlib
 import random
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,8 +87,6 @@ def test_tokens_of_many_texts_take_little_memory():
     """Offsets are flat numbers and leave in parts: an object per token would take some 250 bytes."""
     import tracemalloc
 
-    import pyarrow as pa
-
     class Frame:
         columns = ["id", "text"]
         schema = type("Schema", (), {"fields": []})
@@ -107,3 +108,36 @@ def test_tokens_of_many_texts_take_little_memory():
     tracemalloc.stop()
     assert (n_rows, n_null, n_tokens) == (2100, 700, 700 * 800)
     assert peak < 20 << 20
+
+
+@pytest.mark.parametrize("slice_bytes, remembered", [(1 << 20, 400_000), (5, 400_000), (5, 3)])
+def test_tokens_as_texts_are_what_the_offsets_cut_out(monkeypatch, slice_bytes, remembered):
+    monkeypatch.setattr(tokenizer, "_SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(tokenizer, "_REMEMBERED_CUTS", remembered)
+    draw = random.Random(7)
+    marks = ["a", "B", "9", ".", ",", "'", "s", "-", "(", ")", " ", "\n", "\u3000", "\x85", "\x1c", "é", "😀", "mg", "…", "don’t", "x" * 70]
+    texts = ["".join(draw.choice(marks) for _ in range(draw.randrange(30))) for _ in range(600)]
+    for rules in (tokenizer.Rules(), tokenizer.Rules(prefixes=(), suffixes=(), infixes=("-",), exceptions={}, whole=None)):
+        column = pa.array([None, "", *texts, None, " \n"])
+        cuts = tokenizer._Cuts(rules)
+        for part in (column, column.slice(100, 50), column.slice(0, 2), column.slice(0, 1)):
+            made = tokenizer._token_texts(part, cuts)
+            made.validate(full=True)
+            assert made.to_pylist() == [None if t is None else tokens(t, rules) for t in part.to_pylist()]
+
+
+def test_blanks_are_the_same_to_both_forms():
+    text = "".join(f"a{chr(k)}" for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000)
+    made = tokenizer._token_texts(pa.array([text]), tokenizer._Cuts(tokenizer.Rules(prefixes=(), suffixes=(), infixes=(), exceptions={}, whole=None)))
+    assert made.to_pylist()[0] == tokenizer._CHUNK.findall(text)
+
+
+def test_tokens_of_a_long_text_are_not_each_counted_from_its_begin(spark):
+    """Spark's substring walks a text from its begin, so that a text took the square of its length."""
+    df = spark.createDataFrame([(1, "fever, (é) " * 100_000), (2, None)], "id long, text string")
+    made = ner.with_tokens(df, tokenizer.Rules())
+    assert "substring(" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = {r["id"]: r for r in made.select("id", F.size("tokens").alias("n"), F.sha1(F.array_join("tokens", "|")).alias("sha1")).collect()}
+    wanted = hashlib.sha1("|".join(["fever", ",", "(", "é", ")"] * 100_000).encode()).hexdigest()
+    assert rows[1]["n"] == 500_000 and rows[1]["sha1"] == wanted
+    assert rows[2]["n"] is None and rows[2]["sha1"] is None
